@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, mixing, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_mixing": mixing.op3_mixing,
+        "op6_sharding": sharding.op6_sharding,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
