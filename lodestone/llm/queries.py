@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, sharding, token_counts
+from . import line_dedup, mixing, quality_rules, sharding, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op10_simhash": simhash.op10_simhash,
         "op8_token_counts": token_counts.op8_token_counts,
         "op7_quality_rules": quality_rules.op7_quality_rules,
     }
