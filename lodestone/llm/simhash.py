@@ -155,8 +155,8 @@ def near_pairs(fps: DataFrame, parts: list[tuple[list[int], int]], distance: int
         flips = [as_signed(sum(1 << b for b in c)) for r in range(t + 1) for c in itertools.combinations(bits, r)]
         key = F.col("fp").bitwiseAND(F.lit(whole))
         index.append(F.struct(F.lit(i).alias("part"), key.alias("bits")))
-        own = F.array(*[F.lit(x).cast("long") for x in flips])
-        probes.append(F.transform(own, lambda m, key=key, i=i: F.struct(F.lit(i).alias("part"), key.bitwiseXOR(m).alias("bits"))))
+        own = ", ".join(f"{x}L" if x > -(1 << 63) else "cast(-9223372036854775808 AS bigint)" for x in flips)
+        probes.append(F.expr(f"transform(array({own}), m -> struct({i} AS part, (fp & {whole}L) ^ m AS bits))"))
     b = fps.select(F.col("fp").alias("b"), F.inline(F.array(*index)))
     a = fps.select(F.col("fp").alias("a"), F.inline(F.concat(*probes) if len(probes) > 1 else probes[0]))
     return a.join(b, ["part", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
