@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, sharding, simhash, token_counts
+from . import decontaminate, line_dedup, mixing, quality_rules, sharding, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_simhash": simhash.op10_simhash,
         "op8_token_counts": token_counts.op8_token_counts,
         "op7_quality_rules": quality_rules.op7_quality_rules,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
