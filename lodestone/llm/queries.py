@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extraction, line_dedup, mixing, quality_rules, sharding, simhash, token_counts, url_filters
+from . import decontaminate, html_extraction, line_dedup, mixing, quality_rules, sharding, simhash, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_html_extraction": html_extraction.op2_html_extraction,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_url_filters": url_filters.op5_url_filters,
         "op3_mixing": mixing.op3_mixing,
         "op6_sharding": sharding.op6_sharding,
