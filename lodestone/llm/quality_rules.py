@@ -48,6 +48,12 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def doubled(hashes: Column, n: int) -> Column:
+    """From hashes of n words each, those of 2n words."""
+    m = F.size(hashes) - n
+    return F.zip_with(F.slice(hashes, F.lit(1), m), F.slice(hashes, F.lit(n + 1), m), lambda x, y: F.xxhash64(x, y))
+
+
 def repeat_words(windows: Column, span: int = SPAN) -> Column:
     """Words in windows that occur twice or more. windows: one hash for each window, in order.
 
@@ -55,7 +61,7 @@ def repeat_words(windows: Column, span: int = SPAN) -> Column:
     up to the next start, span at most. All steps are linear in the text but for the two sorts.
     """
     pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.size(pairs)
+    last = F.size(windows)
     later = F.slice(pairs, F.lit(2), F.greatest(last - 1, F.lit(0)))
     before = F.slice(pairs, F.lit(1), F.greatest(last - 1, F.lit(0)))
     marks = F.flatten(F.filter(
@@ -84,16 +90,19 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     at = {k: free(docs, f"_m_{k}") for k in (*x, "windows")}
     first = docs.withColumns({at[k]: v for k, v in x.items()})
     w, lines = F.col(at["words"]), F.col(at["lines"])
-    windows = F.when(F.size(w) >= SPAN, F.transform(
-        F.sequence(F.lit(1), F.size(w) - SPAN + 1), lambda i: F.xxhash64(F.slice(w, i, SPAN)))
-    ).otherwise(F.array().cast("array<bigint>"))
-    measured = first.withColumn(at["windows"], windows).select(
-        *kept,
+    # hashes of single words are joined to those of 2, 4 and 8: SPAN words in three steps, each a column of its own
+    step = free(first, "_m_step")
+    first = first.withColumn(step, F.when(F.size(w) >= SPAN, F.transform(w, lambda x: F.xxhash64(x))))
+    for n in (1, 2, 4):
+        first = first.withColumn(step, doubled(F.col(step), n))
+    windows = F.coalesce(F.col(step), F.array().cast("array<bigint>"))
+    # inlined as rows, so that a policy's filter is never moved below and the measuring done again for each of its rules
+    measured = first.withColumn(at["windows"], windows).select(*kept, F.inline(F.array(F.struct(
         F.size(w).cast("long").alias("n_words"), F.col(at["word_chars"]).alias("word_chars"),
         F.col(at["n_symbols"]).alias("n_symbols"), F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col(at["windows"])).alias("n_repeat_words"), F.col(at["n_upper"]).alias("n_upper"),
-    )
+    ))))
     bits = sum((F.when(F.expr(test), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, test in RULES.values()), F.lit(0))
     return measured.select(*[F.col(quoted(c)) for c in names], *MEASURES, bits.cast("long").alias("failed_bits"))
 

@@ -289,7 +289,7 @@ def _cores(parts: int):
                         rows.append(i)
                         part.append(p)
                         core.append(xxhash.xxh64_intdigest(raw[anchor - lo : anchor - hi + SPAN], p) >> 1)
-            out = pa.Table.from_batches([b]).take(pa.array(rows, pa.int64())).append_column("part", pa.array(part, pa.int32())).append_column("core", pa.array(core, pa.int64()))
+            out = pa.Table.from_batches([b]).take(pa.array(rows, pa.int64())).append_column("part", pa.array(part, pa.int32())).append_column("core2", pa.array(core, pa.int64()))
             yield from out.combine_chunks().to_batches()
 
     return run
