@@ -27,8 +27,8 @@ GRAM = 32
 GROUP = 2_000
 #: An index is full with so many contexts.
 INDEXED = 4_000
-#: Parts of a large group: windows of a part share the bytes in the middle, so contexts are dealt by those.
-LEVELS = (2, 8, 43, 169)
+#: Parts of a large group's windows, by where the anchor stands in them; the windows of a part share the bytes in the middle.
+PARTS = 8
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 22
 
@@ -277,53 +277,85 @@ def part_edges(parts: int) -> list[tuple[int, int]]:
     return [(n * i // parts, n * (i + 1) // parts - 1) for i in range(parts)]
 
 
-def _cores(parts: int):
-    """Contexts -> a row for each part of their windows: a hash of the bytes that all windows of the part share."""
+def _windows(raw_size: int, anchor: int, lo: int, hi: int) -> tuple[int, int]:
+    """Of a part's windows the first and last that lie in the context; the first is over the last if none does."""
+    return max(lo, anchor + SPAN - raw_size), min(hi, anchor)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, part, core = [], [], []
-            for i, (raw, anchor) in enumerate(zip(b.column("bytes").to_pylist(), b.column("anchor").to_pylist())):
-                for p, (lo, hi) in enumerate(part_edges(parts)):
-                    if max(lo, anchor + SPAN - len(raw)) <= min(hi, anchor):  # else the text has no window of the part
-                        rows.append(i)
-                        part.append(p)
-                        core.append(xxhash.xxh64_intdigest(raw[anchor - lo : anchor - hi + SPAN], p) >> 1)
-            out = pa.Table.from_batches([b]).take(pa.array(rows, pa.int64())).append_column("part", pa.array(part, pa.int32())).append_column("core2", pa.array(core, pa.int64()))
-            yield from out.combine_chunks().to_batches()
 
-    return run
+def _divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, c, bytes, anchor) -> for each part of the windows (group, span, ah, c, part).
+
+    group: a hash of the anchor, the part and the bytes that all windows of the part share;
+    span: a hash of the bytes that any of them has.
+    """
+    h = xxhash.xxh64_intdigest
+    for b in batches:
+        out: list[tuple] = []
+        for ah, c, raw, anchor in zip(*(col.to_pylist() for col in b.columns)):
+            for p, (lo, hi) in enumerate(part_edges(PARTS)):
+                first, last = _windows(len(raw), anchor, lo, hi)
+                if first <= last:
+                    core = h(raw[anchor - lo : anchor - hi + SPAN], p)
+                    out.append((h(ah.to_bytes(8, "little") + core.to_bytes(8, "little"), p) >> 1, h(raw[anchor - last : anchor - first + SPAN], first * SPAN + last) >> 1, ah, c, p))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["g", "s", "ah", "c", "part"])
+
+
+def _cut_to_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, s, part, bytes, anchor) -> contexts of a part: only the bytes that its windows have, named (g, s)."""
+    for b in batches:
+        raws, anchors_ = [], []
+        for p, raw, anchor in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+            first, last = _windows(len(raw), anchor, *part_edges(PARTS)[p])
+            raws.append(raw[anchor - last : anchor - first + SPAN])
+            anchors_.append(last)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.binary()), pa.array(anchors_, pa.int32())], names=["ah", "c", "bytes", "anchor"])
+
+
+def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, c, bytes, anchor) -> (w1, w2, ah, c, lo): 128 bits of each window."""
+    for b in batches:
+        for at in range(0, len(b), 2_000):
+            out = []
+            for ah, c, raw, anchor in zip(*(col.to_pylist() for col in b.slice(at, 2_000).columns)):
+                for i in range(len(raw) - SPAN + 1):
+                    w = xxhash.xxh3_128_intdigest(raw[i : i + SPAN], anchor - i)
+                    out.append((w >> 65, (w & ((1 << 64) - 1)) >> 1, ah, c, i - anchor))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["w1", "w2", "ah", "c", "lo"])
 
 
 def _spans(contexts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(ah, c, lo, hi): matches among contexts(ah, c, bytes, anchor) of one anchor string. sizes: (ah, k)."""
-    names = ["g", "core", "ah", "c", "bytes", "anchor"]
-    schema = "ah long, c long, lo long, hi long"
+    """(ah, c, lo, hi): matches among contexts(ah, c, bytes, anchor) of one anchor string. sizes: (ah, k).
+
+    Groups of GROUP contexts or fewer are indexed. In larger ones the windows are divided by
+    where the anchor stands in them; contexts that have a part's bytes alike are one there,
+    covered if they are two or more, and those that differ meet only where they share the
+    middle. Where still more than GROUP do so, each window is counted by itself.
+    """
+    spans, context = "ah long, c long, lo long, hi long", "ah long, c long, bytes binary, anchor int"
 
     def index(df: DataFrame) -> DataFrame:
-        g = F.struct("g", "core")
-        return df.select(F.xxhash64(g).alias("g"), "ah", "c", "bytes", "anchor").repartition("g").sortWithinPartitions("g", "ah", "c").mapInArrow(_index, schema)
+        return df.select(F.col("ah").alias("g"), "ah", "c", "bytes", "anchor").repartition("g").sortWithinPartitions("g", "ah", "c").mapInArrow(_index, spans)
 
-    rest = contexts.select(F.col("ah").alias("g"), F.lit(0).cast("long").alias("core"), "ah", "c", "bytes", "anchor")
-    large = stash(sizes.where(F.col("k") > GROUP).select(F.col("ah").alias("g"), F.lit(0).cast("long").alias("core")))
+    large = stash(sizes.where(F.col("k") > GROUP).select("ah"))
     if large.isEmpty():
-        return index(rest)
-    out = index(rest.join(large, ["g", "core"], "left_anti"))
-    rest = rest.join(large, ["g", "core"], "left_semi").select(*names)
-    for parts in LEVELS:
-        fields = T.StructType([*rest.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("core2", T.LongType())])
-        cut = stash(rest.mapInArrow(_cores(parts), fields).select(
-            F.xxhash64("g", "core", "part").alias("g"), F.col("core2").alias("core"), "part", "ah", "c", "bytes", "anchor"))
-        count = stash(cut.groupBy("g", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-        if parts == LEVELS[-1]:
-            same = cut.join(count, ["g", "core"], "left_semi")
-            return out.union(same.select("ah", "c", (-F.col("part")).cast("long").alias("lo"), (F.lit(SPAN) - F.col("part")).cast("long").alias("hi")))
-        out = out.union(index(cut.join(count.where(F.col("k") <= GROUP), ["g", "core"], "left_semi")))
-        large = count.where(F.col("k") > GROUP)
-        if large.isEmpty():
-            return out
-        rest = cut.join(large, ["g", "core"], "left_semi").select(*names)
-    return out
+        return index(contexts)
+    out = index(contexts.join(large, "ah", "left_anti"))
+    rest = contexts.join(large, "ah", "left_semi").select("ah", "c", "bytes", "anchor")
+    members = stash(rest.mapInArrow(_divided, "g long, s long, ah long, c long, part long"))
+    alike = stash(members.groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ah", "c", "part")).alias("first")))
+    count = stash(alike.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    differ = alike.join(count, "g").select("g", "s", "k", "first.ah", "first.c", "first.part")
+    spelled = stash(differ.join(rest, ["ah", "c"]).select("g", "s", "part", "bytes", "anchor").mapInArrow(_cut_to_part, context))
+    many = count.where(F.col("k") > GROUP).select(F.col("g").alias("ah"))
+    found = index(spelled.join(many, "ah", "left_anti"))
+    each = stash(spelled.join(many, "ah", "left_semi").select("ah", "c", "bytes", "anchor").mapInArrow(_each_window, "w1 long, w2 long, ah long, c long, lo long"))
+    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    found = found.union(each.join(twice, ["w1", "w2"], "left_semi").select("ah", "c", "lo", (F.col("lo") + SPAN).alias("hi")))
+    edges = F.array(*[F.struct(F.lit(-hi).cast("long").alias("lo"), F.lit(SPAN - lo).cast("long").alias("hi")) for lo, hi in part_edges(PARTS)])
+    covered = alike.where("n > 1").select("g", "s", F.col("first.part").alias("part")).select("g", "s", F.element_at(edges, (F.col("part") + 1).cast("int")).alias("e")).select(
+        F.col("g").alias("ah"), F.col("s").alias("c"), "e.lo", "e.hi")
+    both = found.union(covered).select(F.col("ah").alias("g"), F.col("c").alias("s"), "lo", "hi")
+    return out.union(members.join(both, ["g", "s"]).select("ah", "c", "lo", "hi"))
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
