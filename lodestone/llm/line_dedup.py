@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .common import WS, ascii_lower, free, hash_pair, load, quoted, text_of
 
 
-def line_key(line: Column) -> Column:
-    """The form in which lines are compared: no white space at its ends, A-Z in lower case."""
-    return ascii_lower(F.btrim(line, F.lit(WS)))
+def line_keys(text: Column) -> Column:
+    """The forms in which a text's lines are compared: no white space at their ends, A-Z in lower case."""
+    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(WS)))
+
+
+def key_hash(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
@@ -27,15 +31,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     besides the text pass through; one that has a name of a new column is replaced by it.
     Rows are recognised by a hash of their text, for equal texts lose the same lines.
     """
-    t1, t2, h = (free(docs, x) for x in ("_t1", "_t2", "_h"))
+    t1, t2 = free(docs, "_t1"), free(docs, "_t2")
     a, b = hash_pair(text_of(docs, text))
     named = docs.withColumns({t1: a, t2: b})
-    lines = F.split(text_of(docs, text), "\n", -1)
-    key = line_key(F.col("line"))
-    hashed = F.array_distinct(F.transform(
-        F.filter(lines, lambda x: F.length(line_key(x)) >= min_chars),
-        lambda x: F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit("line"), line_key(x)).alias("h2")),
-    ))
+    keys = F.filter(line_keys(text_of(docs, text)), lambda x: F.length(x) >= min_chars)
+    hashed = F.transform(F.array_distinct(keys), key_hash)
     each = named.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.inline(hashed))
     common = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     found = (
@@ -43,9 +43,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
         .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("common"))
     )
     joined = named.join(found, (F.col(t1) == F.col("t1")) & (F.col(t2) == F.col("t2")), "left")
-    lines = F.split(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")), "\n", -1)
-    kept = F.when(F.col("common").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains(
-        F.col("common"), F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit("line"), line_key(x)).alias("h2")))))
+    whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+    lines = F.split(whole, "\n", -1)
+    # only texts that have a common line are compared by line
+    drops = F.transform(line_keys(whole), lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("common"), key_hash(x)))
+    stays = F.filter(F.zip_with(lines, drops, lambda x, d: F.when(~d, x)), lambda x: x.isNotNull())
+    kept = F.when(F.col("common").isNull(), lines).otherwise(stays)
     new = ("kept", "n_lines", "n_dropped")
     rest = [F.col(quoted(c)) for c in docs.columns if c != text and c.lower() not in new]
     out = joined.select(*rest, F.size(lines).alias("n_lines"), kept.alias("_kept"))
