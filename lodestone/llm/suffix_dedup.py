@@ -24,7 +24,7 @@ SPAN = 200
 #: Bytes of an anchor. SPAN - GRAM + 1 neighbours compete for the least hash, so each string of SPAN bytes holds an anchor.
 GRAM = 32
 #: Contexts of one anchor string that are indexed together; larger groups are divided first.
-GROUP = 2_000
+GROUP = 20_000
 #: An index is full with so many contexts.
 INDEXED = 4_000
 #: Parts of a large group's windows, by where the anchor stands in them; the windows of a part share the bytes in the middle.
@@ -92,92 +92,67 @@ def bounds(at: int, size: int) -> tuple[int, int]:
 
 
 class RunIndex:
-    """A run-length index of groups of contexts that agree at an anchor: the runs of a positional
-    Burrows-Wheeler transform, with suffixes sampled at the runs' ends.
-
-    Only suffixes of one group that start equally far from their anchors are compared, so a
-    text never matches itself where two of its contexts overlap. Suffixes are sorted by
-    doubling; none is compared beyond its context. Where the transform goes on in a run, a
-    suffix's match with its neighbour is part of a longer one that starts a byte earlier. So
-    matches are measured only at the ends of runs, and all others lie inside those.
+    """A run-length index of groups of contexts: a positional Burrows-Wheeler transform.
+
+    Contexts stand under each other with their anchors in line. At each column the rows of a
+    group are ordered by what stands before it, read backwards, so the symbols of the column,
+    read in that order, are the transform's and fall into runs. `since` is where the match of a
+    row with the one before it in the order begins, its matching statistic. A row that goes on in
+    the run of its predecessor keeps it; only at the heads of runs is it sought among the rows
+    between. Where a match has SPAN bytes, a window of both rows is repeated.
+
+    Rows of one group differ, and only equal places are compared, so a text never matches itself
+    where two of its contexts overlap.
     """
 
     def __init__(self, contexts: list[bytes], anchors: list[int], groups: list[int]):
-        sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = np.cumsum(sizes) - 1
-        self.text[ends] = 0
-        at = np.arange(len(self.text))
-        self.left = np.repeat(ends, sizes) - at  # bytes before the context's end
-        begin = np.array(groups) * (2 * SPAN) + SPAN - np.array(anchors)
-        self.kind = np.repeat(begin - self.starts, sizes) + at  # group and distance from the anchor
-        sa = self._sort()
-        before = np.where(sa > 0, self.text[sa - 1], -1)
-        before[np.isin(sa, self.starts)] = -1  # nothing stands before a context
-        heads = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] < 0)) + 1
-        self.n_runs = len(heads) + 1
-        #: neighbours in suffix order at which a run ends and the next begins
-        self.samples = np.stack([sa[heads - 1], sa[heads]], axis=1) if len(heads) else np.zeros((0, 2), np.int64)
-
-    def _sort(self) -> np.ndarray:
-        n = len(self.text)
-        t = np.concatenate([self.text, [0, 0]])
-        second = np.where(self.left > 0, t[1 : n + 1], 0)
-        third = np.where(self.left > 1, t[2:], 0)
-        key = (self.kind << 27) | (self.text << 18) | (second << 9) | third
-        sa = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[sa] = _group_starts(key[sa]) + 1
-        k = 3
-        open_ = np.arange(n)  # places in suffix order whose group has more than one suffix
-        while True:
-            g = rank[sa[open_]]
-            single = np.ones(len(g), bool)
-            if len(g) > 1:
-                same = g[1:] == g[:-1]
-                single[1:] &= ~same
-                single[:-1] &= ~same
-            open_ = open_[~single]
-            if not len(open_) or k > 2 * SPAN:
-                return sa
-            s = sa[open_]
-            g = rank[s]
-            key = g * (n + 2) + np.where(self.left[s] >= k, rank[np.minimum(s + k, n - 1)], 0)
-            order = np.argsort(key, kind="stable")
-            sa[open_] = s[order]
-            key, g = key[order], g[order]
-            # groups stay at their places, their parts start further on
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            part = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            group_of = np.searchsorted(first, part, side="right") - 1
-            new = g[part] + (part - first[group_of])
-            rank[sa[open_]] = np.repeat(new, np.diff(np.concatenate([part, [len(key)]])))
-            k *= 2
+        n, self.width = len(contexts), 2 * SPAN - GRAM
+        grid = np.zeros((n, self.width), np.uint16)  # 0: the text has ended or not begun
+        for at in range(0, n, 1_000):
+            part = contexts[at : at + 1_000]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            flat = np.frombuffer(b"".join(part), np.uint8)
+            shift = np.cumsum(sizes) - sizes - (SPAN - GRAM - np.array(anchors[at : at + 1_000], np.int64))
+            grid[np.repeat(np.arange(at, at + len(part)), sizes), np.arange(len(flat)) - np.repeat(shift, sizes)] = flat.astype(np.uint16) + 1
+        self.columns = np.ascontiguousarray(grid.T)
+        self.groups = np.array(groups, np.int64) * 512
+        self.n_runs = 0
 
     def matches(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context, from, to) of matches of span bytes or more, at the ends of runs; both sides of each."""
-        p, q = self.samples[:, 0], self.samples[:, 1]
-        most = np.minimum(self.left[p], self.left[q])
-        ok = most >= span
-        ok &= self.kind[p] == self.kind[q]
-        p, q, most = p[ok], q[ok], most[ok]
-        at = np.zeros(len(p), np.int64)
-        going = np.arange(len(p))
-        while len(going):
-            step = at[going]
-            same = (step < most[going]) & (self.text[np.minimum(p[going] + step, len(self.text) - 1)] == self.text[np.minimum(q[going] + step, len(self.text) - 1)])
-            going = going[same]
-            at[going] += 1
-        ok = at >= span
-        starts, size = np.concatenate([p[ok], q[ok]]), np.concatenate([at[ok], at[ok]])
-        of = np.searchsorted(self.starts, starts, side="right") - 1
-        return of, starts - self.starts[of], starts - self.starts[of] + size
-
-
-def _group_starts(x: np.ndarray) -> np.ndarray:
-    first = np.concatenate([[True], x[1:] != x[:-1]])
-    return np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+        """(row, lo, hi): of each row with repeated windows where the first begins and the last ends, from the anchor.
+
+        Windows hold the anchor, so those of one row overlap and cover all that lies between.
+        """
+        n = len(self.groups)
+        order, since = np.arange(n), np.zeros(n + 1, np.int64)
+        lo, hi = np.full(n, -1), np.full(n, -1)
+        for j in range(self.width):
+            key = self.groups[order] + self.columns[j][order]
+            falls = key[1:] < key[:-1]
+            if falls.any():
+                by = np.argsort(key, kind="stable")
+                key = key[by]
+                p, q = by[:-1], by[1:]
+                new = since[q]
+                jumps = np.flatnonzero((q != p + 1) & (key[1:] == key[:-1]))
+                if len(jumps):  # heads of runs: the least match among the rows between
+                    ends = np.empty(2 * len(jumps), np.int64)
+                    ends[::2], ends[1::2] = p[jumps] + 1, q[jumps] + 1
+                    new[jumps] = np.maximum.reduceat(since, ends)[::2]
+                    self.n_runs += len(jumps)
+                order = order[by]
+                since[1:n] = new
+            cut = (key[1:] != key[:-1]) | ((key[1:] & 511) == 0)
+            since[1:n][cut] = j + 1
+            w = j + 1 - span
+            if w >= 0:
+                long = np.flatnonzero(since[1:n] <= w)
+                if len(long):
+                    rows = np.concatenate([order[long], order[long + 1]])
+                    lo[rows] = np.where(lo[rows] < 0, w, lo[rows])
+                    hi[rows] = w + span
+        found = np.flatnonzero(lo >= 0)
+        return found, lo[found] - (SPAN - GRAM), hi[found] - (SPAN - GRAM)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -262,13 +237,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(rows: list[tuple]) -> pa.RecordBatch:
-    found: dict[int, list] = {}
     groups = np.cumsum([0, *(a[4] != b[4] for a, b in zip(rows, rows[1:]))]).tolist()
-    index = RunIndex([r[2] for r in rows], [r[3] for r in rows], groups)
-    for i, x, y in zip(*(v.tolist() for v in index.matches(SPAN))):
-        found.setdefault(i, []).append((x, y))
-    out = [(rows[i][0], rows[i][1], x - rows[i][3], y - rows[i][3]) for i, spans in found.items() for x, y in merged(spans)]
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], names=["ah", "c", "lo", "hi"])
+    found, lo, hi = RunIndex([r[2] for r in rows], [r[3] for r in rows], groups).matches(SPAN)
+    of = found.tolist()
+    return pa.RecordBatch.from_arrays(
+        [pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array(lo), pa.array(hi)], names=["ah", "c", "lo", "hi"])
 
 
 def part_edges(parts: int) -> list[tuple[int, int]]:
