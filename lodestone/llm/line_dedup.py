@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, free, hash_pair, load, quoted, text_of
+from .common import WS, ascii_lower, free, hash_pair, load, quoted, stash, text_of
 
 
 def line_keys(text: Column) -> Column:
@@ -37,7 +37,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     keys = F.filter(line_keys(text_of(docs, text)), lambda x: F.length(x) >= min_chars)
     hashed = F.transform(F.array_distinct(keys), key_hash)
     each = named.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.inline(hashed))
-    common = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    # stored, so that the join below deals both its sides anew and a hot line's rows can be split
+    common = stash(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
     found = (
         each.join(common, ["h1", "h2"], "left_semi")
         .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("common"))
