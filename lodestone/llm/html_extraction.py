@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -30,15 +30,20 @@ CLUTTER_NAMES = frozenset(
     "footer promo promotion sponsor sponsored related share sharing social newsletter subscribe breadcrumb breadcrumbs popup modal widget disclaimer masthead "
     "pagination pager reply replies responses discussion toolbar".split())
 MAIN = frozenset(["article", "main"])
+LEAVES = frozenset("p h1 h2 h3 li td".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?/][^>]*>""", re.S)
+_PARENT = re.compile(r"/[^/]*$")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
 
 
 class Node:
-    """An element of a page: its path of names, whether it is clutter or the main part by its own name."""
+    """An element of a page: its path of names, whether it is clutter or the main part by its own name.
+
+    In a path a tag has - before it if it is clutter and + if it is the main part.
+    """
 
     __slots__ = ("children", "clutter", "main", "path", "tag")
 
@@ -48,10 +53,10 @@ class Node:
         if attrs and not attrs.isspace():
             a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs) if m[1]}
         name = " ".join((a.get("class", "") + " " + a.get("id", "")).split())
-        self.path = f"{path}/{tag}" + (f"[{name}]" if name else "")
         words = set(re.split(r"[\s_-]+", name.lower())) if name else ()
         self.clutter = tag in CLUTTER or a.get("role", "").lower() in CLUTTER_ROLES or bool(words and not CLUTTER_NAMES.isdisjoint(words))
         self.main = not self.clutter and (tag in MAIN or a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody")
+        self.path = "" if not tag else f"{path}/{'-' if self.clutter else '+' if self.main else ''}{tag}" + (f"[{re.sub('[][/#]', '_', name)}]" if name else "")
 
 
 def parse(page: str) -> Node:
@@ -96,76 +101,133 @@ def parse(page: str) -> Node:
     return root
 
 
-def tokens(root: Node) -> dict[str, int]:
-    """What may belong to a template, with its count in the page: elements by path, and whole texts outside a main part."""
-    out: dict[str, int] = defaultdict(int)
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
+def tokens(root: Node) -> dict[str, list[int]]:
+    """What may belong to a template, with its count in the page and its letters: elements by path, and whole texts outside a main part.
+
+    Letters are those of text that is neither in clutter nor in a link; an element's are of all it holds.
+    """
+    out: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    nodes, letters = [(root, 0, False, False)], [0]
+    for i, (node, _, inside, hidden) in enumerate(nodes):
         for x in node.children:
-            if isinstance(x, str):
-                if not inside and (t := " ".join(x.split())):
-                    out[f"{node.path}#{xxhash.xxh64_hexdigest(t)}"] += 1
-            else:
-                out[x.path] += 1
-                todo.append((x, inside or x.main))
+            if not isinstance(x, str):
+                nodes.append((x, i, inside or x.main, hidden or x.clutter or x.tag == "a"))
+                letters.append(0)
+            elif t := " ".join(x.split()):
+                letters[i] += 0 if hidden else len(t)
+                if not inside:
+                    own = out[f"{node.path}#{xxhash.xxh64_hexdigest(t)}"]
+                    own[0] += 1
+                    own[1] += 0 if hidden else len(t)
+    for i in range(len(nodes) - 1, 0, -1):
+        node, up, _, _ = nodes[i]
+        letters[up] += letters[i]
+        own = out[node.path]
+        own[0] += 1
+        own[1] += letters[i]
     return out
 
 
-def _size(node: Node, template: frozenset) -> int:
-    """Letters of text that is no clutter, no link and not the template's."""
+def _holder(token: str) -> str:
+    """The path of the element that holds a token."""
+    return token.partition("#")[0] if "#" in token else _PARENT.sub("", token)
+
+
+class Template:
+    """A host's template, from the tokens of its valid classes: its texts, and which of its elements hold the main slots.
+
+    Classes nest from the root down: a token is the template's if the element that holds it is.
+
+    What a page has in a template's element, and the template has not, fills a slot. Of the slots
+    those are main that lie in an element the template itself names the main part; if there is
+    none, those of the element that holds the most of what fills the slots on all pages of the
+    host, from the root down. Elements that are clutter by name hold no main slot.
+    """
+
+    def __init__(self, tokens: list[dict]):
+        kept, rows = {""}, []
+        for r in sorted(tokens, key=lambda r: len(_holder(r["token"]))):  # holders come first
+            if _holder(r["token"]) in kept:
+                kept.add(r["token"])
+                rows.append(r)
+        self.texts = frozenset(r["token"] for r in rows if "#" in r["token"])
+        filled = {r["token"]: r["letters"] for r in rows if "#" not in r["token"] and "/-" not in r["token"]}
+        for r in rows:
+            at = _holder(r["token"]) if "#" in r["token"] else ""
+            while at:
+                if at in filled:
+                    filled[at] -= r["letters"]
+                at = _PARENT.sub("", at)
+        named = {p for p in filled if p.rpartition("/")[2].startswith("+") and "/+" not in _PARENT.sub("", p)}
+        self.main = named or {self._densest(filled)}
+
+    @staticmethod
+    def _densest(filled: dict[str, int]) -> str:
+        inner = defaultdict(list)
+        for p in filled:
+            inner[_PARENT.sub("", p)].append(p)
+        node, whole = "", sum(filled[p] for p in inner[""])
+        while inner[node]:
+            best = max(inner[node], key=lambda p: (filled[p], p))
+            if filled[best] < 0.6 * whole or whole <= 0 or best.rpartition("/")[2].split("[")[0] in LEAVES | INLINE:
+                break
+            node = best
+        return node
+
+    def slots(self, root: Node) -> list[Node]:
+        """The page's elements that hold its main slots, in page order; those within others are not listed."""
+        if "" in self.main:
+            return [root]
+        return _outermost(root, lambda x: x.path in self.main)
+
+
+def _size(node: Node) -> int:
+    """Letters of text that is neither clutter nor a link."""
     n, todo = 0, [node]
     while todo:
-        node = todo.pop()
-        for x in node.children:
+        for x in todo.pop().children:
             if isinstance(x, str):
-                t = " ".join(x.split())
-                if t and f"{node.path}#{xxhash.xxh64_hexdigest(t)}" not in template:
-                    n += len(t)
+                n += len(" ".join(x.split()))
             elif not x.clutter and x.tag != "a":
                 todo.append(x)
     return n
 
 
-def _mains(root: Node) -> list[Node]:
+def _outermost(root: Node, fits: Callable[[Node], bool]) -> list[Node]:
+    """Elements that fit, in page order; what they hold and what clutter holds is not looked at."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        for x in reversed(node.children):
-            if not isinstance(x, str) and not x.clutter:
-                todo.append(x)
-        if node.main:
+        if fits(node):
             out.append(node)
-            todo = [x for x in todo if not _within(node, x)]
+        else:
+            todo += [x for x in reversed(node.children) if not isinstance(x, str) and not x.clutter]
     return out
 
 
-def _within(node: Node, x: Node) -> bool:
-    return any(c is x for c in node.children)
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The text of a page's main slots, without the template's texts.
 
-
-def main_text(page: str | None, template: frozenset = frozenset()) -> str:
-    """The text of the main slots.
-
-    Slots that the page itself calls its main part are taken; else the slot that holds the most
-    of the text that is neither the template's nor a link's, from the body down.
+    A page without a template, or with none of its template's main elements, is read by its own
+    elements: those that it calls its main part, else the one that holds the most of its text.
     """
     root = parse(page or "")
-    mains = _mains(root)
-    own: frozenset = frozenset()
+    mains = template.slots(root) if template else []
+    texts = template.texts if template else frozenset()
+    if not mains:
+        mains = _outermost(root, lambda x: x.main)
     if not mains:
-        node, own = root, template
-        whole = _size(root, template)
+        node, whole = root, _size(root)
         while whole:
             inner = [x for x in node.children if not isinstance(x, str) and not x.clutter and x.tag not in INLINE]
-            best = max(inner, key=lambda x: _size(x, template), default=None)
-            if best is None or best.tag in ("p", "h1", "h2", "h3", "li", "td") or _size(best, template) < 0.6 * whole:
+            best = max(inner, key=_size, default=None)
+            if best is None or best.tag in LEAVES or _size(best) < 0.6 * whole:
                 break
             node = best
         mains = [node]
     parts: list[str] = []
     for node in mains:
-        _emit(node, own, parts)
+        _emit(node, texts, parts)
         parts.append(" ")
     return " ".join("".join(parts).split())
 
@@ -192,13 +254,12 @@ def _emit(node: Node, template: frozenset, parts: list[str]) -> None:
 
 
 def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, least_tokens: int = 2) -> DataFrame:
-    """(host, template): the tokens of the host's valid equivalence classes. pages: (host, html).
+    """(host, template): tokens of the host's valid equivalence classes, with their letters on all pages. pages: (host, html).
 
     Tokens of a host belong to one class if they occur equally often on each page, that is if
     their occurrence vectors are equal; vectors are compared by two sums of hashes of (page,
     count). A class is valid if it has least_tokens tokens and stands on least_pages pages and on
-    over the given part of the host's. The root class, once on every page, and the classes that
-    nest in its elements make the template: a class is kept if its elements' parents are kept.
+    over the given part of the host's. Template nests the classes into each other.
     Counts are summed on the map side; a host with a third of all pages costs a task its
     distinct tokens only.
     """
@@ -207,36 +268,35 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, leas
             seen: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 p = xxhash.xxh64_intdigest(page or "")
-                for t, n in {**tokens(parse(page or "")), "": 1}.items():
-                    s = seen.setdefault((host, t), [0, 0, 0])
+                for t, (n, letters) in {**tokens(parse(page or "")), "": (1, 0)}.items():
+                    s = seen.setdefault((host, t), [0, 0, 0, 0])
                     h = xxhash.xxh64_intdigest(f"{p}:{n}")
                     s[0] += 1
                     s[1] += h >> 32
                     s[2] += h & 0xFFFFFFFF
+                    s[3] += letters
             keys = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(3)],
-                names=["host", "token", "n", "v1", "v2"])
+                [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(4)],
+                names=["host", "token", "n", "v1", "v2", "letters"])
 
-    each = pages.select("host", "html").mapInArrow(run, "host string, token string, n long, v1 long, v2 long")
-    counted = each.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum(F.col("v1").cast("decimal(30,0)")).alias("v1"), F.sum(F.col("v2").cast("decimal(30,0)")).alias("v2"))
+    each = pages.select("host", "html").mapInArrow(run, "host string, token string, n long, v1 long, v2 long, letters long")
+    counted = each.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum(F.col("v1").cast("decimal(30,0)")).alias("v1"), F.sum(F.col("v2").cast("decimal(30,0)")).alias("v2"), F.sum("letters").alias("letters"))
     counted = stash(counted)
     of = counted.where("token = ''").select("host", F.col("n").alias("pages"))
     fit = counted.where(F.col("n") >= least_pages).join(of, "host").where((F.col("token") != "") & (F.col("n") > support * F.col("pages")))
-    classes = fit.groupBy("host", "n", "v1", "v2").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least_tokens)
+    classes = fit.groupBy("host", "n", "v1", "v2").agg(F.collect_list(F.struct("token", "letters")).alias("tokens")).where(F.size("tokens") >= least_tokens)
     kept = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    # nesting: the element that holds a token is in a valid class too
-    parent = lambda t: F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, "#[0-9a-f]{16}$", "")).otherwise(F.regexp_replace(t, r"/[^/]*(\[[^\]]*\])?$", ""))
-    return kept.select("host", F.filter("tokens", lambda t: (parent(t) == "") | F.array_contains("tokens", parent(t))).alias("template"))
+    return kept.select("host", F.array_sort("tokens").alias("template"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """pages with `text` and `n_chars` (code points) in place of the html.
 
-    Templates are deduced by host, over all pages; what is left in a page's main slots is its
+    Templates are deduced by host, over all pages; what fills a page's main slots is its
     text: character references decoded, white space inside a block made one space, blocks in
-    page order with one space between. Pages of hosts with too few pages have no template
-    and are read by their own elements. Null html: empty text. Null urls share the host ''.
+    page order with one space between. Pages of hosts with too few pages have no template,
+    and pages that differ may lack its main elements; they are read by their own elements. Null html: empty text. Null urls share the host ''.
     Repeated pages each get a row; an empty table gives an empty result; columns with the names
     of new ones are replaced. A page's tree is held while it is read, however long it is.
     """
@@ -246,22 +306,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
     cols = [pages[quoted(c)] for c in names]
     named = pages.select(*cols, host_of(pages[quoted(url)]).alias(h), pages[quoted(html_column)].cast("string").alias("_html"))
     found = stash(templates(named.select(F.col(h).alias("host"), F.col("_html").alias("html"))))
-    size = found.agg(F.sum(F.length(F.array_join("template", " ")) + F.length("host"))).first()[0] or 0
+    size = found.agg(F.sum(F.length(F.array_join("template.token", " ")) + 8 * F.size("template") + F.length("host"))).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_CHARS else found
     both = named.join(found, named[h] == found["host"] if size > BROADCAST_CHARS else F.col(h) == F.col("host"), "left").select(*[F.col(quoted(c)) for c in names], "template", "_html")
     schema = T.StructType([*both.schema.fields[:-2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset] = {}
+        held: dict[str, Template] = {}
         for b in batches:
             out = []
-            for t, page in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
-                key = tuple(t.as_py() or ())
-                if key not in sets:
-                    if len(sets) > 256:
-                        sets.clear()
-                    sets[key] = frozenset(key)
-                out.append(main_text(page.as_py(), sets[key]))
+            for rows, page in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
+                rows = rows.as_py()
+                key = repr(rows)
+                if rows and key not in held:
+                    if len(held) > 256:
+                        held.clear()
+                    held[key] = Template(rows)
+                out.append(main_text(page.as_py(), held.get(key)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[*names, *new])
 
     return both.mapInArrow(run, schema)

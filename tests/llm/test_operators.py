@@ -234,10 +234,31 @@ def test_html_extraction(spark):
     assert got[0].text == "T & x onetwo three four five" and got[1].text == "x" and got[2].text == got[3].text == "" and got[4].text == "plain <text>"
     assert all(got[5 + i].text == f"story {i} that is long enough to be the main slot of it and goes on {i}" for i in range(5))
     assert all(r.n_chars == len(r.text) for r in got.values()) and hx.extract(df.where("false")).count() == 0
-    found = {r.host: set(r.template) for r in hx.templates(df.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
+    found = {r.host: {x.token for x in r.template} for r in hx.templates(df.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
     assert any("#" in t for t in found["c.org"]) and "a.org" not in found
 
 
+def test_template_names_the_slots():
+    """A page's own elements say nothing of its main part here; only the host's pages together do."""
+    page = "<div id=a><p>{0}</p></div><div id=b><p>Always the same long words that any page of this host has, and more of them.</p></div><div id=c>{1}</div>"
+    pages = [page.format(f"Story number {i}, in a few words.", f"<i>{'x' * i}</i>") for i in range(6)]
+    seen = {}
+    for p in pages:
+        for t, (n, letters) in hx.tokens(hx.parse(p)).items():
+            seen.setdefault(t, []).append((n, letters))
+    template = hx.Template([{"token": t, "letters": sum(x for _, x in v)} for t, v in seen.items() if [n for n, _ in v] == [1] * 6])
+    assert template.main == {"/div[a]"} and len(template.texts) == 1
+    assert [hx.main_text(p, template) for p in pages] == [f"Story number {i}, in a few words." for i in range(6)]
+    assert hx.main_text("<article>other</article>", template) == "other" and hx.main_text(None, template) == ""
+
+
+def test_main_part_of_the_template_wins():
+    """An article that only some pages have is no part of the template, so it fills a slot of what holds it."""
+    tokens = [{"token": t, "letters": 90} for t in ("/body", "/body/+main", "/body/-nav")]
+    page = "<body><nav>menu</nav><main>one <article>two</article> <div class=share>no</div> three</main></body>"
+    assert hx.main_text(page, hx.Template(tokens)) == "one two three"
+
+
 def test_url_filters(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">y</a>' for h in hosts)
     rules = (("allow", "good.org", "/"), ("block", "bad.org", "/"), ("block", "good.org", "/x/"))
