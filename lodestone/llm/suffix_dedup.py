@@ -29,6 +29,10 @@ GROUP = 20_000
 INDEXED = 4_000
 #: Parts of a large group's windows, by where the anchor stands in them; the windows of a part share the bytes in the middle.
 PARTS = 8
+#: A key with more than this part of all rows is heavy; there are fewer than 1 / HEAVY such keys, so they are broadcast.
+HEAVY = 0.001
+#: Tasks over which the rows of a heavy key are dealt.
+SALTS = 64
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 22
 
@@ -328,7 +332,27 @@ def _spans(contexts: DataFrame, sizes: DataFrame) -> DataFrame:
     covered = alike.where("n > 1").select("g", "s", F.col("first.part").alias("part")).select("g", "s", F.element_at(edges, (F.col("part") + 1).cast("int")).alias("e")).select(
         F.col("g").alias("ah"), F.col("s").alias("c"), "e.lo", "e.hi")
     both = found.union(covered).select(F.col("ah").alias("g"), F.col("c").alias("s"), "lo", "hi")
-    return out.union(members.join(both, ["g", "s"]).select("ah", "c", "lo", "hi"))
+    return out.union(dealt_join(members, both, heavy(alike, "n", "g", "s"), ["ah", "c"]).select("ah", "c", "lo", "hi"))
+
+
+def heavy(counts: DataFrame, n: str, *keys: str) -> DataFrame:
+    """The heavy keys of counts, a stored table that has each key once with its rows n."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > HEAVY * total).select(*keys)
+
+
+def dealt_join(left: DataFrame, right: DataFrame, hot: DataFrame, ident: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by the columns of hot; left's rows of those keys are dealt over SALTS tasks by ident.
+
+    right's rows of hot keys are repeated for each of these tasks.
+    """
+    keys = hot.columns
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*ident), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = right.join(marked, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -338,20 +362,22 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     a, b = hash_pair(text_of(docs, text))
     texts = docs.select(a.alias("t1"), b.alias("t2"), text_of(docs, text).alias("text"))
-    twice = texts.mapInArrow(_anchor_rows(True), "ah long").groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah")
+    twice = stash(texts.mapInArrow(_anchor_rows(True), "ah long").groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     each = texts.mapInArrow(_anchor_rows(False), "t1 long, t2 long, at long, ah long, c long")
     # copies of a text come together here; n keeps their number
-    found = stash(each.join(twice, "ah", "left_semi").groupBy("t1", "t2", "at", "ah", "c").agg(F.count(F.lit(1)).alias("n")))
-    contexts = stash(found.groupBy("ah", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("first")))
+    named = dealt_join(each, twice.select("ah"), heavy(twice, "n", "ah"), ["t1", "t2", "at"], "left_semi")
+    found = stash(named.groupBy("t1", "t2", "at", "ah", "c").agg(F.count(F.lit(1)).alias("n")))
+    contexts = stash(found.groupBy("ah", "c").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min(F.struct("t1", "t2", "at")).alias("first")))
     sizes = stash(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     # contexts that differ need their bytes, from one text each
-    wanted = contexts.join(sizes, "ah", "left_semi").groupBy("first.t1", "first.t2").agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "ah", "c")).alias("wanted"))
+    differ = dealt_join(contexts, sizes.select("ah"), heavy(sizes, "k", "ah"), ["c"], "left_semi")
+    wanted = differ.groupBy("first.t1", "first.t2").agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "ah", "c")).alias("wanted"))
     own = texts.dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("text", "wanted")
     spelled = stash(own.mapInArrow(_contexts, "ah long, c long, bytes binary, anchor int"))
     # all of a context that occurs twice is a repeat: each of its windows is
     whole = contexts.where("n > 1").select("ah", "c", F.lit(GRAM - SPAN).cast("long").alias("lo"), F.lit(SPAN).cast("long").alias("hi"))
     spans = whole.union(_spans(spelled, sizes)).groupBy("ah", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    at = found.select("t1", "t2", "at", "ah", "c").join(spans, ["ah", "c"])
+    at = dealt_join(found.select("t1", "t2", "at", "ah", "c"), spans, heavy(contexts, "places", "ah", "c"), ["t1", "t2", "at"])
     return at.groupBy("t1", "t2").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct((F.col("at") + x["lo"]).alias("lo"), (F.col("at") + x["hi"]).alias("hi"))))).alias("spans"))
 
 

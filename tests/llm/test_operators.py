@@ -75,9 +75,10 @@ def test_quality_rules(docs, empty):
     assert quality_rules.ledger(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [20_000, 3])
-def test_suffix_dedup(docs, empty, monkeypatch, group):
+@pytest.mark.parametrize(("group", "heavy"), [(20_000, 0.001), (3, 0.02), (3, 2.0)])
+def test_suffix_dedup(docs, empty, monkeypatch, group, heavy):
     monkeypatch.setattr(sd, "GROUP", group)
+    monkeypatch.setattr(sd, "HEAVY", heavy)
     raw = [(r[1] or "").encode() for r in ROWS]
     n = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
     want = []
