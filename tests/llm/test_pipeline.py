@@ -39,3 +39,15 @@ def test_run(spark):
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert {name for name, _ in P.STAGES} == {"quality_rules", "simhash", "decontamination", "mixing", "sharding"}
+
+
+def test_one_of_each_group_stays(spark):
+    """Repeated and missing doc_ids: groups are of texts, so no text goes because another one has its doc_id."""
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    x, y, z = " ".join(words), " ".join(reversed(words)), " ".join(words[::3] + words[1::3])
+    rows = [(2, y), (5, x), (5, y), (5, x), (7, z), (None, z), (None, "alone " + y[:90]), (None, "alone " + y[:90])]
+    docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.simhash(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(2, y), (5, x), (7, z), (None, "alone " + y[:90])])
+    assert P.simhash(spark, docs.where("false"), SF).count() == 0
