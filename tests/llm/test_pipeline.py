@@ -1,11 +1,13 @@
 """run() against a brute-force version of its stages."""
 
+import random
 from collections import Counter
 
 import duckdb
+import pytest
 
 import corpus_pipeline as P
-from lodestone.llm import quality_rules, simhash
+from lodestone.llm import near_copies, quality_rules, simhash
 from lodestone.llm.mixing import SQL as MIX_SQL
 from lodestone.llm.decontaminate import SQL as LEAK_SQL
 
@@ -51,3 +53,36 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(2, y), (5, x), (7, z), (None, "alone " + y[:90])])
     assert P.simhash(spark, docs.where("false"), SF).count() == 0
+
+
+def jaccard(x, y):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (x, y)))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("pairs", [20, 0])
+def test_copies_edited_to_less_are_found(spark, monkeypatch, pairs):
+    """Copies of similarity 0.8 to 0.95 are in one group, those under 0.8 are not; with and without rounds of leaders."""
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    monkeypatch.setattr(near_copies, "LIST", 0)
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5, 6, 8):
+            w = list(base)
+            for i in rng.sample(range(200), edits):
+                w[i] = f"e{rng.randrange(5000)}"
+            rows.append(" ".join(w).upper() if edits == 2 else " ".join(w))
+    label, links = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            s = jaccard(rows[i], rows[j])
+            if s >= 0.8:
+                links.append(s)
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert min(links) < 0.83 and any(0.83 < s < 0.95 for s in links) and len(set(label)) > 12
+    docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.simhash(spark, docs.repartition(3), SF).collect()) == sorted(set(label))
