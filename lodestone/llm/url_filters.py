@@ -51,8 +51,10 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
     Personalised PageRank: trust flows from trusted seeds along edges, each host dividing its
     own among those it links to; distrust flows from blocked seeds against the edges, each host
-    dividing its own among those that link to it. Rounds end when no score moves by more than
-    the tolerance. What flows into a host without edges onward ends there.
+    dividing its own among those that link to it. Rounds end when no trust and no distrust moves by more than
+    the tolerance times the weight of one seed of its own kind, so copies of a graph are judged as
+    the graph is. Scores reach hosts up to `rounds` edges from a seed; those further off get
+    none. What flows into a host without edges onward ends there.
 
     Messages are summed on the map side before they are shuffled, and the joins are of a kind
     that adaptive execution splits, so a host with a large part of all edges is no single task.
@@ -78,7 +80,8 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         both = new.join(ranks.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host")
         both = stash(both)
         ranks = both.select("host", "trust", "distrust")
-        if (both.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0] or 0.0) <= tolerance:
+        moved = both.agg(F.max(F.abs(F.col("trust") - F.col("t0"))).alias("t"), F.max(F.abs(F.col("distrust") - F.col("d0"))).alias("d")).first()
+        if (moved.t or 0.0) <= tolerance * (1 - damping) / (total.t or 1.0) and (moved.d or 0.0) <= tolerance * (1 - damping) / (total.b or 1.0):
             break
     return ranks
 

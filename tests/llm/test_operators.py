@@ -271,3 +271,13 @@ def test_url_filters(spark):
     assert [got[i].rule for i in (0, 1, 2, 4, 7)] == ["good.org/", "bad.org/", None, "good.org/x/", None]
     assert (got[2].host, got[2].path, got[5].host, got[3].path) == ("farm.net", "/a", "", "") and got[2].distrust > 0 == got[2].trust
     assert uf.filter_urls(df.where("false"), rules).count() == 0
+
+
+def test_scores_do_not_stop_short_among_many_seeds(spark):
+    """A chain of 12 hosts that leads to one of 300,000 blocked seeds: distrust goes all the way, as with one seed."""
+    n, chain = 300_000, [f"c{i}" for i in range(12)]
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), (chain[-1], "s0")], "src string, dst string")
+    for seeds in (1, n):
+        hosts = spark.range(seeds).select(F.concat(F.lit("s"), "id").alias("host"), F.lit(0.0).alias("trusted"), F.lit(1.0).alias("blocked"))
+        got = {r.host: r.distrust * seeds for r in uf.propagate(hosts, edges).where("host like 'c%'").collect()}
+        assert all(abs(got[h] / (0.15 * 0.85 ** (12 - i)) - 1) < 1e-9 for i, h in enumerate(chain))
