@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, free, hash_pair, load, quoted, stash, text_of
+from .common import WS, ascii_lower, carried, hash_pair, load, restored, stash, text_of
 
 
 def line_keys(text: Column) -> Column:
@@ -27,38 +27,34 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: s
     The hashes of common lines go back to their texts by a join that adaptive execution can
     split, and each document drops them and joins its other lines in their old order.
 
-    Null or empty text: one empty line, kept. An empty table gives an empty result. Columns
-    besides the text pass through; one that has a name of a new column is replaced by it.
-    Rows are recognised by a hash of their text, for equal texts lose the same lines.
+    Null or empty text: one empty line, kept. An empty table gives an empty result. Rows are
+    recognised by a hash of their text, for equal texts lose the same lines; repeated rows come
+    back as often as they stand. Ties can't be: a key is common or not. Other columns pass
+    through whatever their names; one that has a name of a new column is replaced by it. A
+    text is held whole, with its lines, in the task that reads it.
     """
-    t1, t2 = free(docs, "_t1"), free(docs, "_t2")
+    new = ("kept", "n_lines", "n_dropped")
+    names = [c for c in docs.columns if c != text and c.lower() not in new]
     a, b = hash_pair(text_of(docs, text))
-    named = docs.withColumns({t1: a, t2: b})
-    keys = F.filter(line_keys(text_of(docs, text)), lambda x: F.length(x) >= min_chars)
-    hashed = F.transform(F.array_distinct(keys), key_hash)
-    each = named.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.inline(hashed))
-    # stored, so that the join below deals both its sides anew and a hot line's rows can be split
+    named = docs.select(carried(docs, names).alias("row"), text_of(docs, text).alias("text"), a.alias("t1"), b.alias("t2"))
+    keys = F.filter(line_keys(F.col("text")), lambda x: F.length(x) >= min_chars)
+    each = named.select("t1", "t2", F.inline(F.transform(F.array_distinct(keys), key_hash)))
+    # both are stored, so that the joins that follow deal their sides anew and a hot line's or text's rows can be split
     common = stash(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"))
-    found = (
+    found = stash(
         each.join(common, ["h1", "h2"], "left_semi")
-        .groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("common"))
-    )
-    joined = named.join(found, (F.col(t1) == F.col("t1")) & (F.col(t2) == F.col("t2")), "left")
-    whole = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
+        .groupBy(F.col("t1").alias("f1"), F.col("t2").alias("f2")).agg(F.collect_set(F.struct("h1", "h2")).alias("common")))
+    joined = named.join(found, (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
+    whole = F.col("text")
     lines = F.split(whole, "\n", -1)
     # only texts that have a common line are compared by line
     drops = F.transform(line_keys(whole), lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("common"), key_hash(x)))
     stays = F.filter(F.zip_with(lines, drops, lambda x, d: F.when(~d, x)), lambda x: x.isNotNull())
     kept = F.when(F.col("common").isNull(), lines).otherwise(stays)
-    new = ("kept", "n_lines", "n_dropped")
-    rest = [F.col(quoted(c)) for c in docs.columns if c != text and c.lower() not in new]
-    out = joined.select(*rest, F.size(lines).alias("n_lines"), kept.alias("_kept"))
+    out = joined.select("row", F.size(lines).alias("n_lines"), kept.alias("kept"))
     return out.select(
-        *[F.col(quoted(c)) for c in docs.columns if c != text and c.lower() not in new],
-        F.array_join("_kept", "\n").alias("kept"),
-        F.col("n_lines").cast("long").alias("n_lines"),
-        (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+        *restored(names), F.array_join("kept", "\n").alias("kept"), F.col("n_lines").cast("long").alias("n_lines"),
+        (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
