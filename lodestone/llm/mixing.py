@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, free, load, quoted, stash, text_of
+from .common import carried, few, load, quoted, restored, stash, text_of
 
 #: A rate above this is drawn as a sum of equal parts below it.
 PART = 16.0
 #: Terms of a part's distribution; the rest of a rate of 16 is far below 2 ** -53.
 TERMS = 96
+#: Bits of a copy's place.
+PLACE_BITS = 60
 #: So many sources are broadcast; more are joined by a shuffle.
 MOST_SOURCES = 10_000
 
@@ -64,34 +66,39 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.5, seed:
     operator's feature. `place` is a hash of the copy: sorted by it, the mixture is shuffled.
 
     Null keys and texts hash as empty, a null source is a source like any other. Rows equal in
-    key and text get equal draws. Sources without bytes get nothing. An empty table stays
-    empty. Columns with the names of new ones are replaced. Sources are few in practice and
-    then broadcast, after their number is counted; beyond MOST_SOURCES a join by source runs
-    that adaptive execution can split.
+    key and text get equal draws, which is how ties and repeated rows come out. Sources without
+    bytes get nothing. An empty table stays empty. Other columns pass through whatever their
+    names; those with the names of new ones are replaced. A text is only hashed, so its length
+    bears on nothing else. Sources are few in practice and then broadcast, after their number
+    is counted; beyond MOST_SOURCES a join by source runs that adaptive execution can split.
     """
     new = ("copy", "n_copies", "place")
     names = [c for c in docs.columns if c.lower() not in new]
-    docs = docs.select(*[docs[quoted(c)] for c in names])
-    of = stash(rates(docs, weights, power, source, text)).select(F.struct("source").alias("_source"), "parts", "cdf")
+    of = stash(rates(docs, weights, power, source, text)).select(F.struct("source").alias("of"), "parts", "cdf")
     if few(of, MOST_SOURCES):
         of = F.broadcast(of)
-    s, draw, ident = (free(docs, x) for x in ("_s", "_draw", "_ident"))
-    named = docs.withColumn(s, F.struct(docs[quoted(source)].alias("source"))).withColumn(
-        ident, F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[quoted(key)].cast("string"), F.lit("")), F.md5(text_of(docs, text).cast("binary"))))
-    both = named.join(of, F.col(s).eqNullSafe(F.col("_source")))
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(F.col(ident), j.cast("string")))),
-    )
-    counted = both.withColumn(draw, drawn).where(F.col(draw) > 0)
-    each = counted.select(*[F.col(quoted(c)) for c in names], F.col(ident).alias("_id"), F.col(draw).alias("n_copies"),
-                          F.explode(F.sequence(F.lit(1), F.col(draw))).alias("copy"))
-    return each.withColumn("place", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("place"), "_id", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")).drop("_id")
-
-
-def shuffled(mixed: DataFrame) -> DataFrame:
-    """The mixture in the order of `place`: a global shuffle that a range partitioning does."""
-    return mixed.repartitionByRange("place").sortWithinPartitions("place")
+    ident = F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[quoted(key)].cast("string"), F.lit("")), F.md5(text_of(docs, text).cast("binary")))
+    named = docs.select(carried(docs, names).alias("row"), F.struct(docs[quoted(source)].alias("source")).alias("s"), ident.alias("ident"))
+    both = named.join(of, F.col("s").eqNullSafe(F.col("of")))
+    # one number for each part; each is then compared with the sums of the distribution
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.col("ident"), j.cast("string")))
+    drawn = F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
+    # inlined as rows, so that the draw is a column of its own and not made again for each use
+    counted = both.select("row", "ident", F.inline(F.array(F.struct(drawn.alias("n_copies"))))).where("n_copies > 0")
+    each = counted.select("row", "ident", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("place"), "ident", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    return each.select(*restored(names), "n_copies", "copy", place.alias("place"))
+
+
+def shuffled(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The mixture in the order of `place`: a global shuffle.
+
+    Places are spread evenly over 60 bits, so their ranges are known without a sample and each
+    row is made once. partitions: by default as many as Spark's shuffles have.
+    """
+    n = partitions or int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = -(-(1 << PLACE_BITS) // n)
+    return mixed.repartitionById(n, F.floor(F.col("place") / F.lit(width)).cast("int")).sortWithinPartitions("place")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +115,7 @@ t AS (SELECT source, parts, k, exp(-lam) * pow(lam, k) / gamma(k + 1) AS term FR
 cdf AS (SELECT source, parts, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS c FROM t),
 u AS (SELECT doc_id, source, '17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text) AS ident FROM d),
 h AS (SELECT u.*, j, ('0x' || substr(md5(ident || ':' || j::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-      FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source, range(1, 65) AS y(j) WHERE j <= p.parts),
+      FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source, range(1, (SELECT max(parts) FROM p) + 1) AS y(j) WHERE j <= p.parts),
 n AS (SELECT h.doc_id, h.source, h.ident, count(*) AS n_copies FROM h JOIN cdf ON h.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= h.u GROUP BY ALL)
 SELECT doc_id, source, n_copies::INT AS n_copies, g::INT AS copy,
        ('0x' || substr(md5('place:' || ident || ':' || g::VARCHAR), 1, 15))::BIGINT AS place
