@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, hash_pair, load, quoted, stash, text_of
+from .common import carried, hash_pair, load, restored, stash, text_of
 
 SPAN = 200
 #: Bytes of an anchor. SPAN - GRAM + 1 neighbours compete for the least hash, so each string of SPAN bytes holds an anchor.
@@ -389,32 +389,30 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     cross documents. Null or empty text has no bytes. A text that stands in two rows is a
     repeat of itself, wholly so from SPAN bytes on. Rows are recognised by a 128-bit hash of
     their text, for equal texts lose the same bytes. An empty table gives an empty result.
-    Columns with the names of new ones are replaced.
+    Other columns pass through whatever their names; those with the names of new ones are
+    replaced. Long texts are hashed CHUNK bytes at a time and held whole while they are cut.
     """
     new = ("kept", "n_bytes", "n_removed", "n_spans")
     names = [c for c in docs.columns if c.lower() not in new and c != text]
-    t1, t2 = free(docs, "_t1"), free(docs, "_t2")
     a, b = hash_pair(text_of(docs, text))
-    named = docs.select(*[docs[quoted(c)] for c in names], a.alias(t1), b.alias(t2), text_of(docs, text).alias("_text"))
-    spans = repeats(docs, text)
-    both = named.join(spans, (F.col(t1) == F.col("t1")) & (F.col(t2) == F.col("t2")), "left").select(*[F.col(quoted(c)) for c in names], "_text", "spans")
-    fields = both.schema.fields[:-2]
-    schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in new[1:]]])
-    return both.mapInArrow(_cut([*names, *new]), schema)
+    named = docs.select(carried(docs, names).alias("row"), a.alias("r1"), b.alias("r2"), text_of(docs, text).alias("text"))
+    both = named.join(repeats(docs, text), (F.col("r1") == F.col("t1")) & (F.col("r2") == F.col("t2")), "left").select("row", "text", "spans")
+    schema = T.StructType([both.schema["row"], T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in new[1:]]])
+    return both.mapInArrow(_cut(["row", *new]), schema).select(*restored(names), *new)
 
 
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, counts = [], ([], [], [])
-            for text, spans in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
+            for text, spans in zip(b.column(1), b.column(2)):
                 raw = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
                 gone = merged([(max(0, x["lo"]), min(len(raw), x["hi"])) for x in spans.as_py() or ()])
                 edges = [0, *(e for x in gone for e in x), len(raw)]
                 kept.append(b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
                 for v, to in zip((len(raw), len(raw) - len(kept[-1]), len(gone)), counts):
                     to.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.binary()), *[pa.array(v, pa.int64()) for v in counts]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), *[pa.array(v, pa.int64()) for v in counts]], names=names)
 
     return run
 
