@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, free, load, quoted, text_of
+from .common import WS, free, load, quoted, stash, text_of
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -80,8 +80,10 @@ def repeat_words(windows: Column, span: int = SPAN) -> Column:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and `failed_bits`, one bit for each rule that a document fails.
 
-    Null text has no words. A column that has the name of a new one is replaced. Works row by
-    row without a shuffle; copies and repeated rows each get their own entry.
+    Null text has no words. A column that has the name of a new one is replaced; other columns
+    pass through whatever their names. Works row by row without a shuffle, so ties, copies and
+    repeated rows each get their own entry, and an empty table has none. A text's words are held
+    as one array, some 60 bytes a word where windows repeat.
     """
     new = {*MEASURES, "failed_bits"}
     kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in new]
@@ -107,6 +109,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measured.select(*[F.col(quoted(c)) for c in names], *MEASURES, bits.cast("long").alias("failed_bits"))
 
 
+def written(entries: DataFrame) -> DataFrame:
+    """A ledger without texts as a table in the shared folder: policies and ablations read it, and no text again."""
+    return stash(entries)
+
+
 def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0
 
@@ -128,13 +135,19 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = ledger(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The stored ledger with the policies base and v1 applied."""
+    entries = written(ledger(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes("base")).alias("base_failed"), (passes("base") & passes("v1")).alias("kept"), "failed_bits",
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy v1 rejects, and rejects alone, from a stored ledger."""
+    return ablations(written(ledger(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")), "v1")
+
+
 SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -162,3 +175,9 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
+
+ABLATION_SQL = f"""
+SELECT rule, count(*) FILTER ((failed_bits & bit) <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_only_this_rule
+FROM ({SQL}), (VALUES ('too_few_words', 1), ('repeated_spans', 2), ('symbols', 4), ('repeated_lines', 8), ('shouting', 16), ('word_length', 32)) AS r(rule, bit)
+GROUP BY rule
+"""

@@ -17,8 +17,10 @@ def queries() -> dict:
         "op10_simhash": simhash.op10_simhash,
         "op8_token_counts": token_counts.op8_token_counts,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "quality_ablation": quality_rules.quality_ablation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op9_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL,
+            "quality_ablation": quality_rules.ABLATION_SQL}
