@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, quoted, text_of
+from .common import carried, load, restored, text_of
 
 MARK = "▁"
 #: Pre-tokens that are kept with their counts; beyond, the store starts anew.
@@ -102,25 +102,27 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, text: str
 
     No begin or end token, no truncation; special strings inside a text are ordinary text.
     Null or empty text: 0 bytes, 0 tokens. Rows are counted one by one, without a shuffle, so
-    copies, ties and skewed keys make no difference. A column with the name of a new one is
-    replaced. model_file is a path on each executor.
+    copies, ties, repeated rows and skewed keys make no difference. An empty table gives an
+    empty result. Other columns pass through whatever their names; one with the name of a new
+    one is replaced. A text is held whole, and its pre-tokens, in the task that counts it.
+    model_file is a path on each executor.
     """
     new = ("n_bytes", "n_tokens", "over_limit")
     rest = [c for c in docs.columns if c != text and c.lower() not in new]
-    narrow = docs.select(*[docs[quoted(c)] for c in rest], text_of(docs, text).alias("_text"))
-    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    narrow = docs.select(carried(docs, rest).alias("row"), text_of(docs, text).alias("text"))
+    schema = T.StructType([narrow.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_of = counter(model_file).count_batch
         for b in batches:
-            texts = b.column(b.num_columns - 1)
+            texts = b.column(1)
             sizes = pa.compute.binary_length(texts).cast(pa.int64())
             lists = [texts.slice(i, 500).to_pylist() for i in range(0, len(texts), 500)]
             counts = pa.array([n for part in lists for n in counts_of(part)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], sizes, counts], names=[*rest, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, counts], names=["row", "n_bytes", "n_tokens"])
 
     out = narrow.mapInArrow(run, schema)
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    return out.select(*restored(rest), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
