@@ -17,6 +17,8 @@ from .common import LOWER, UPPER, load, quoted, stash, text_of
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: A probe or index row moves through a shuffle and a sort (some 1.7 us as measured); a candidate is one test of two longs in the join (0.1 us).
 ROW_COST, CANDIDATE_COST = 17.0, 1.0
+#: A bucket with over HEAVY candidates is heavy; if the heavy ones have over CANDIDATES for each fingerprint, they are first joined by LEADERS of each.
+HEAVY, CANDIDATES, LEADERS = 100_000, 20, 8
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -145,23 +147,72 @@ def as_signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_pairs(fps: DataFrame, parts: list[tuple[list[int], int]], distance: int = DISTANCE) -> DataFrame:
-    """(a, b) with a < b, perhaps more than once: all pairs of different fingerprints within distance.
-
-    Each part of a plan indexes its bits and is probed with all patterns within its threshold;
-    the join verifies the whole distance before it makes a row.
-    """
-    index, probes = [], []
+def buckets(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """(fp, comp, part, bits, probe): each fingerprint once in the index of each part, and with all patterns within its threshold as a probe."""
+    rows = []
     for i, (bits, t) in enumerate(parts):
         whole = as_signed(sum(1 << b for b in bits))
         flips = [as_signed(sum(1 << b for b in c)) for r in range(t + 1) for c in itertools.combinations(bits, r)]
-        key = F.col("fp").bitwiseAND(F.lit(whole))
-        index.append(F.struct(F.lit(i).alias("part"), key.alias("bits")))
         own = ", ".join(f"{x}L" if x > -(1 << 63) else "cast(-9223372036854775808 AS bigint)" for x in flips)
-        probes.append(F.expr(f"transform(array({own}), m -> struct({i} AS part, (fp & {whole}L) ^ m AS bits))"))
-    b = fps.select(F.col("fp").alias("b"), F.inline(F.array(*index)))
-    a = fps.select(F.col("fp").alias("a"), F.inline(F.concat(*probes) if len(probes) > 1 else probes[0]))
-    return a.join(b, ["part", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
+        rows.append(F.array(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(whole)).alias("bits"), F.lit(False).alias("probe"))))
+        rows.append(F.expr(f"transform(array({own}), m -> struct({i} AS part, (fp & {whole}L) ^ m AS bits, true AS probe))"))
+    return nodes.select("fp", "comp", F.inline(F.concat(*rows)))
+
+
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links between fingerprints, distance or fewer bits apart, that leave the components of all such links.
+
+    fps has each fingerprint once, in a stored table. Each part of a plan indexes its bits and is
+    probed with all patterns within its threshold; candidates are verified by their whole
+    distance. Not all links are made, for in a neighbourhood of n fingerprints they are n * n.
+    Where buckets have many candidates, each probe is first tested with LEADERS members of the
+    bucket, and what links is one component from then on; candidates within a component are no
+    more formed. Rounds go on while they help. All candidates of different components are then
+    verified, so no two components stay apart that any link joins.
+    """
+    n = fps.count()
+    if not n:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    parts = plan(bit_products(fps), n, distance)
+    nodes, found, last = fps.select("fp", F.col("fp").alias("comp")), None, float("inf")
+    key = ["part", "bits"]
+    near_by = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
+    for star in itertools.count():
+        rows = buckets(nodes, parts)
+        size = [F.count(F.when(~F.col("probe"), 1)).alias("i"), F.count(F.when(F.col("probe"), 1)).alias("p")]
+        if found is None:  # each is its own component
+            each = rows.groupBy(*key).agg(*size).select(*key, (F.col("i") * F.col("p") - F.col("i")).alias("apart"))
+        else:
+            each = rows.groupBy(*key, "comp").agg(*size).groupBy(*key).agg(
+                (F.sum("i") * F.sum("p") - F.sum(F.col("i") * F.col("p"))).alias("apart"), F.max_by("comp", F.col("i") + F.col("p")).alias("major"))
+        heavy = stash(each.where(F.col("apart") > HEAVY))
+        most = heavy.agg(F.sum("apart")).first()[0] or 0
+        if most <= CANDIDATES * n or most > 0.9 * last:
+            break
+        last = most
+        of_heavy = rows.join(heavy.select(*key), key)
+        order = [F.min(F.struct(F.xxhash64("fp", F.lit(star), F.lit(j)).alias("o"), "fp", "comp")).alias(f"l{j}") for j in range(LEADERS)]
+        leaders = stash(of_heavy.where("NOT probe").groupBy(*key).agg(*order).select(*key, F.array(*[F.struct(f"l{j}.fp", f"l{j}.comp") for j in range(LEADERS)]).alias("leaders")))
+        own = F.filter("leaders", lambda x: (x["comp"] != F.col("comp")) & near_by(x["fp"], F.col("fp")))
+        new = of_heavy.where("probe").join(leaders, key).select("fp", F.explode(F.array_distinct(F.transform(own, lambda x: x["fp"]))).alias("b"))
+        new = new.select(F.col("fp").alias("a"), "b")
+        found = stash(forest(new if found is None else found.union(new)))
+        names = stash(components(found))
+        nodes = stash(fps.join(names, fps["fp"] == names["node"], "left").select("fp", F.coalesce("least", "fp").alias("comp")))
+    x, y = (rows.where(side).drop("probe") for side in ("NOT probe", "probe"))
+    if most and found is not None:
+        # in heavy buckets the members of the largest component are not set against each other
+        major = heavy.select(*key, "major")
+        side = lambda many, few: F.when(F.col("major").isNull(), F.array(F.lit(0))).when(F.col("comp") == F.col("major"), F.array(*map(F.lit, many))).otherwise(F.array(*map(F.lit, few)))
+        x = x.join(major, key, "left").withColumn("side", F.explode(side([1], [2, 3]))).drop("major")
+        y = y.join(major, key, "left").withColumn("side", F.explode(side([3], [1, 2]))).drop("major")
+        key = [*key, "side"]
+    x, y = x.withColumnsRenamed({"fp": "a", "comp": "comp_a"}), y.withColumnsRenamed({"fp": "b", "comp": "comp_b"})
+    rest = x.join(y, key).where((F.col("comp_a") != F.col("comp_b")) & near_by(F.col("a"), F.col("b"))).select("a", "b")
+    if all(t == 0 for _, t in parts):
+        rest = rest.where("a < b")  # both ways are there
+    rest = forest(rest)
+    return stash(rest if found is None else found.union(rest))
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -190,11 +241,13 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, least node that it reaches) for each node of an edge, by large and small stars.
 
     A round joins each node's neighbours to the least of them; rounds go on until the edges
-    no longer change. Each round's edges are a table in the shared folder.
+    no longer change, which they do within some log(n) squared rounds. Each round's edges are a
+    table in the shared folder, and so are the least neighbours, so that their join deals both
+    sides anew and the edges of a hot node can be split.
     """
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -202,22 +255,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     # here a > b for all edges
     edges = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = mark(edges)
-    for _ in range(most):
-        if not seen[0]:
-            break
+    now, seen = mark(edges), None
+    while now[0] and now != seen:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stash(large)
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stash(small.where("a <> b").distinct())
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no end of the components after {most} rounds")
+        now, seen = mark(edges), now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("least")).union(edges.select(F.col("b"), F.col("b"))).distinct()
 
 
@@ -229,17 +276,17 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     ties go to the least key. Null or empty text has fingerprint zero and is linked like any
     other. Null keys take part; their component_id is the least key that is not null, null if
     there is none. Repeated rows are returned as often as they stand. An empty table gives an
-    empty result.
+    empty result. Other columns are not returned, whatever their names. A text's words are held
+    whole while its shingles are hashed, some 100 bytes a word.
     """
     fps = stash(fingerprints(docs, key, text, n))
     own = stash(fps.groupBy("fp").agg(F.min("key").alias("least_key")))
-    count = own.count()
-    if not count:
+    if own.isEmpty():
         return fps.select("key", "fp", F.col("key").alias("component_id"))
-    pairs = stash(forest(near_pairs(own.select("fp"), plan(bit_products(own), count, distance), distance)))
-    labels = components(pairs)
-    named = own.join(labels, own["fp"] == labels["node"], "left").select("fp", "least_key", F.coalesce("least", "fp").alias("least"))
-    first = named.groupBy("least").agg(F.min("least_key").alias("component_id"))
+    labels = components(links(own.select("fp"), distance))
+    named = stash(own.join(labels, own["fp"] == labels["node"], "left").select("fp", "least_key", F.coalesce("least", "fp").alias("least")))
+    # stored, so that the joins deal their sides anew and a component or fingerprint of many rows can be split
+    first = stash(named.groupBy("least").agg(F.min("least_key").alias("component_id")))
     named = stash(named.join(first, "least").select("fp", "component_id"))
     return fps.join(named, "fp").select("key", "fp", "component_id")
 
