@@ -9,18 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import free, load, quoted, stash, text_of
+from .common import carried, hash_pair, load, quoted, restored, stash, text_of
 
 #: Words of a window that counts as shared.
 SPAN = 8
 #: Words of a fingerprint; the least hash of SPAN - GRAM + 1 neighbours is kept, so each shared window holds a kept one.
 GRAM = 4
-#: UTF-8 bytes of the test texts that are held at a time; larger sets are taken block by block.
-BLOCK_BYTES = 16 << 20
-#: Bytes of documents that are hashed at a time.
+#: Bits of the sieve, a power of two: 8 MB.
+SIEVE = 1 << 26
+#: Bytes of texts that are hashed at a time; they take some 40 times as much.
 CHUNK = 4 << 20
+#: A word, in either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -86,129 +87,213 @@ class Words:
         return b" ".join(self.bytes[a:b].tobytes() for a, b in zip(self.starts[at : at + k], self.ends[at : at + k]))
 
 
-class Windows:
-    """A block of test items: their fingerprints and windows, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        w = Words([t for _, t in items])
-        sizes = np.diff(w.first)
-        grams = w.grams(GRAM)
-        self.fingerprints = np.unique(grams[w.winnowed(grams, SPAN, GRAM)])
-        #: span -> hashes of windows, sorted; an item of fewer words than SPAN is a window of its own span
-        self.hashes: dict[int, np.ndarray] = {}
-        self.items: dict[tuple[int, bytes], list[str]] = defaultdict(list)
-        for span in sorted({min(int(s), SPAN) for s in sizes if s}):
-            h = w.grams(span)
-            own = (sizes >= SPAN if span == SPAN else sizes == span)[w.of] & (h != 0)
-            self.hashes[span] = np.unique(h[own])
-            for at in np.flatnonzero(own):
-                ids = self.items[span, w.text(at, span)]
-                if not ids or ids[-1] != items[w.of[at]][0]:
-                    ids.append(items[w.of[at]][0])
-        self.items = dict(self.items)
-
-    def find(self, w: Words) -> list[tuple[int, int, list[str]]]:
-        """(first word, words, items) for each occurrence of a window."""
-        out = []
-        for span, hashes in self.hashes.items():
-            if span == SPAN:
-                grams = w.grams(GRAM)
-                hits = np.flatnonzero(w.winnowed(grams, SPAN, GRAM))
-                hits = hits[_among(grams[hits], self.fingerprints)]
-                # a hit is extended to all windows that hold it
-                at = np.unique((hits[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
-                at = at[at >= 0]
-            else:
-                at = np.arange(len(w.hashes))
-            if not len(at):
-                continue
-            at = at[_among(w.grams(span)[at], hashes)]
-            for i in at.tolist():
-                if ids := self.items.get((span, w.text(i, span))):  # the words themselves are compared
-                    out.append((i, span, ids))
-        return out
+def chunks(text: bytes, overlap: int = SPAN - 1) -> Iterator[tuple[int, bytes]]:
+    """(number of the first word, bytes): parts of a long text that share overlap words, so that each window lies whole in one."""
+    if len(text) <= CHUNK:
+        yield 0, text
+        return
+    at, first, size = 0, 0, CHUNK
+    while True:
+        end = at + size
+        while end < len(text) and _IS_WORD[text[end]] and _IS_WORD[text[end - 1]]:
+            end += 1  # not inside a word
+        part = text[at:end]
+        starts = Words([part]).starts
+        if end < len(text) and len(starts) <= overlap:
+            size *= 2  # words so long that the next part would begin where this one does
+            continue
+        yield first, part
+        if end >= len(text):
+            return
+        first, at, size = first + len(starts) - overlap, at + int(starts[len(starts) - overlap]), CHUNK
+
+
+def prints(w: Words, spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(span, places, hashes) of the fingerprints of texts: of SPAN words the least GRAM-word hashes, of fewer all of them together."""
+    for span in spans:
+        if span == SPAN:
+            grams = w.grams(GRAM)
+            at = np.flatnonzero(w.winnowed(grams, SPAN, GRAM))
+            yield span, at, grams[at]
+        else:
+            grams = w.grams(span)
+            at = np.flatnonzero(grams)
+            yield span, at, grams[at]
+
+
+class Sieve:
+    """A fixed number of bits, those of the hashes of the test fingerprints: what it drops has no match, what it lets pass is joined.
+
+    It is no larger for a larger benchmark, it only lets more pass.
+    """
 
+    def __init__(self, words: np.ndarray, bits: np.ndarray):
+        self.table = np.zeros(SIEVE // 64, np.uint64)
+        self.table[words] = bits
 
-def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(x), bool)
-    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+    @staticmethod
+    def place(span: int, hashes: np.ndarray) -> np.ndarray:
+        return _mix(hashes + np.uint64(span)) & np.uint64(SIEVE - 1)
 
+    def passes(self, span: int, hashes: np.ndarray) -> np.ndarray:
+        x = self.place(span, hashes)
+        return (self.table[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) != 0
 
-def blocks(bench: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Windows]:
-    """The test items, as many at a time as the bound lets the driver hold."""
-    named = bench.select(bench[quoted(item)].cast("string").alias("item"), text_of(bench, text).alias("text"))
-    total = named.agg(F.sum(F.octet_length("text").cast("long") + 32)).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for i in range(n):
-        part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else named
-        yield Windows([(r.item, r.text.encode()) for r in part.collect()])
 
+def test_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) -> (item, span, words): the windows of each item; an item of fewer than SPAN words is one."""
+    for b in batches:
+        for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            raw = text.encode()
+            for _, part in chunks(raw):
+                w = Words([part])
+                n = len(w.starts)
+                span = SPAN if n >= SPAN or len(part) < len(raw) else n
+                grams = [] if not n or n < span else sorted({w.text(i, span) for i in range(n - span + 1)})
+                for at in range(0, len(grams), 50_000):
+                    own = grams[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array([span] * len(own), pa.int32()), pa.array([g.decode() for g in own], pa.string())], names=["item", "span", "words"])
 
-def decontaminate(docs: DataFrame, bench: DataFrame, min_items: int = 2, text: str = "text", item: str = "item_id",
-                  item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with `n_words`, `n_hit`, `n_items`, `items` (sorted array of strings) and `contaminated`.
 
-    A window is SPAN consecutive words of an item, or all of a shorter item. Of each SPAN words
-    of documents and items the least GRAM-word hash is kept; kept hashes that documents share
-    with items are extended to the windows around them, whose words are then compared. Windows
-    of shorter items are looked up by hash directly. A word is hit inside any window's occurrence.
-
-    Documents stay where they are: the test windows go to them, BLOCK_BYTES of texts at a time.
-    If there are more blocks than one, the documents are written between two of them. Null text
-    has no words; items without words, or without an id, have no window or no name and are
-    never listed. Items that repeat count once by id. Empty tables on either side are fine.
-    Rows are judged one by one, so copies and hot sources make no difference. Columns with the
-    names of new ones are replaced.
-    """
-    new = ("n_words", "n_hit", "n_items", "items", "contaminated")
-    names = [c for c in docs.columns if c.lower() not in new]
-    docs = docs.select(*[docs[quoted(c)] for c in names])
-    state = {k: free(docs, f"_{k}") for k in ("text", "n", "hits", "items")}
-    out = docs.withColumns({state["text"]: text_of(docs, text), state["n"]: F.lit(0).cast("long"),
-                            state["hits"]: F.array().cast("array<int>"), state["items"]: F.array().cast("array<string>")})
-    schema = T.StructType(out.schema.fields)
-    sc, first = docs.sparkSession.sparkContext, True
-    for block in blocks(bench.where(bench[quoted(item)].isNotNull()), item, item_text, block_bytes):
-        if not first:
-            out = stash(out)
-        first, held = False, sc.broadcast(block)
-        out = out.mapInArrow(_judge(held, [f.name for f in schema.fields]), schema)
-    n_hit, found = F.size(F.array_distinct(state["hits"])), F.sort_array(F.array_distinct(F.col(state["items"])))
-    return out.select(
-        *[F.col(quoted(c)) for c in names], F.col(state["n"]).alias("n_words"), n_hit.cast("long").alias("n_hit"),
-        F.size(found).cast("long").alias("n_items"), found.alias("items"), (F.size(found) >= min_items).alias("contaminated"))
-
-
-def _judge(held, names: list[str]):
+def test_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(span, words) of windows -> (span, h): a window's fingerprints are its least GRAM-word hashes, or its own where it is short."""
+    for b in batches:
+        for span, at, h in _of_windows(b.column(0).to_numpy(), b.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), span), pa.int32()), pa.array(h.view(np.int64))], names=["span", "h"])
+
+
+def _of_windows(spans: np.ndarray, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for span in sorted({int(x) for x in spans}):
+        texts = [t.encode() for t, x in zip(words, spans) if x == span]
+        for at in range(0, len(texts), 20_000):
+            yield from prints(Words(texts[at : at + 20_000]), [span])
+
+
+def sieve_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(span, h) -> (word, bits) of the sieve."""
+    for b in batches:
+        spans, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        x = np.concatenate([Sieve.place(int(s), h[spans == s]) for s in np.unique(spans)] or [np.zeros(0, np.uint64)])
+        x = np.unique(x)
+        word, start = np.unique(x >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (x & np.uint64(63)), start) if len(x) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+
+def _candidates(held, spans: list[int]):
+    """(t1, t2, text) -> of each text with fingerprints that pass the sieve (t1, t2, text, fingerprints)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Windows = held.value
+        sieve = held.value
         for b in batches:
-            at = 0
-            sizes = pa.compute.binary_length(b.column(b.num_columns - 4)).to_numpy(zero_copy_only=False)
+            at, sizes = 0, pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
             while at < len(b):
                 end, size = at + 1, int(sizes[at])
                 while end < len(b) and size + int(sizes[end]) <= CHUNK:
                     size += int(sizes[end])
                     end += 1
-                yield _part(b.slice(at, end - at), block, names)
+                found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+                texts = [t.encode() for t in b.column(2).slice(at, end - at).to_pylist()]
+                for part in [texts] if len(texts) > 1 else [[p] for _, p in chunks(texts[0])]:
+                    w = Words(part)
+                    for span, places, h in prints(w, spans):
+                        ok = sieve.passes(span, h)
+                        for d, x in zip(w.of[places[ok]].tolist(), h[ok].view(np.int64).tolist()):
+                            found[d].add((span, x))
+                if found:
+                    rows = sorted(found)
+                    own = b.take(pa.array([at + d for d in rows]))
+                    lists = pa.array([[{"span": s, "h": h} for s, h in sorted(found[d])] for d in rows], pa.list_(pa.struct([("span", pa.int32()), ("h", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([*own.columns, lists], names=["t1", "t2", "text", "prints"])
                 at = end
 
     return run
 
 
-def _part(b: pa.RecordBatch, block: Windows, names: list[str]) -> pa.RecordBatch:
-    texts, _, hits, items = b.columns[-4:]
-    w = Words([t.encode() for t in texts.to_pylist()])
-    hits, items = hits.to_pylist(), items.to_pylist()
-    for at, span, ids in block.find(w):
-        d = int(w.of[at])
-        i = at - int(w.first[d])
-        hits[d] += range(i, i + span)
-        items[d] += ids
-    arrays = [*b.columns[:-3], pa.array(np.diff(w.first), pa.int64()),
-              pa.array([sorted(set(x)) for x in hits], pa.list_(pa.int32())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, text, hits) -> (t1, t2, at, span, words): the windows around each hit."""
+    for b in batches:
+        for row in range(len(b)):
+            hits = b.column(3)[row].as_py()
+            for first, part in chunks(b.column(2)[row].as_py().encode()):
+                w, places, spans, words = Words([part]), [], [], []
+                for span in sorted({h["span"] for h in hits}):
+                    table = np.sort(np.array([h["h"] for h in hits if h["span"] == span], np.int64).view(np.uint64))
+                    (_, at, h), = prints(w, [span])
+                    at = at[_among(h, table)]
+                    if span == SPAN:
+                        at = np.unique((at[:, None] - np.arange(SPAN - GRAM + 1)).ravel())
+                        at = at[(at >= 0) & (at <= len(w.starts) - SPAN)]
+                    places += (at + first).tolist()
+                    spans += [span] * len(at)
+                    words += [w.text(i, span).decode() for i in at.tolist()]
+                n = len(places)
+                one = [pa.array([b.column(i)[row].as_py()] * n, pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*one, pa.array(places, pa.int64()), pa.array(spans, pa.int32()), pa.array(words, pa.string())], names=["t1", "t2", "at", "span", "words"])
+
+
+def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def found_windows(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str) -> DataFrame:
+    """(t1, t2, n_hit, items): for each text, by its hash, that has a window of an item."""
+    spark = docs.sparkSession
+    named = bench.where(bench[quoted(item)].isNotNull()).select(bench[quoted(item)].cast("string").alias("item"), text_of(bench, item_text).alias("text"))
+    windows = stash(named.mapInArrow(test_windows, "item string, span int, words string").distinct())
+    prints_of = stash(windows.select("span", "words").mapInArrow(test_prints, "span int, h long").distinct())
+    spans = sorted(r.span for r in windows.select("span").distinct().collect())  # SPAN of them at most
+    bits = prints_of.mapInArrow(sieve_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # SIEVE / 64 rows at most
+    held = spark.sparkContext.broadcast(Sieve(bits.column("word").to_numpy(), bits.column("bits").to_numpy().view(np.uint64)))
+    a, b = hash_pair(text_of(docs, text))
+    texts = docs.select(a.alias("t1"), b.alias("t2"), text_of(docs, text).alias("text"))
+    schema = "t1 long, t2 long, text string, prints array<struct<span:int,h:long>>"
+    maybe = stash(texts.mapInArrow(_candidates(held, spans), schema))
+    # training and test fingerprints are joined; what was let through by chance ends here
+    hits = maybe.select("t1", "t2", F.inline("prints")).distinct().join(prints_of, ["span", "h"], "left_semi")
+    hits = stash(hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("span", "h")).alias("hits")))
+    own = maybe.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(hits, ["t1", "t2"])  # copies go on the map side
+    around = stash(own.select("t1", "t2", "text", "hits").mapInArrow(_extended, "t1 long, t2 long, at long, span int, words string"))
+    both = around.join(windows.select("span", "words").distinct(), ["span", "words"], "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("at", "span"))).alias("hit"))
+    # each window adds the words behind the last that is counted
+    n_hit = F.aggregate("hit", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), lambda x, w: F.struct(
+        F.greatest(x["end"], w["at"] + w["span"]).alias("end"), (x["n"] + F.greatest(F.lit(0).cast("long"), w["at"] + w["span"] - F.greatest(x["end"], w["at"]))).alias("n")), lambda x: x["n"])
+    hit = both.select("t1", "t2", n_hit.alias("n_hit"))
+    items = around.select("t1", "t2", "span", "words").distinct().join(windows, ["span", "words"]).select("t1", "t2", "item").distinct()
+    items = items.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    return stash(hit.join(items, ["t1", "t2"]))
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, min_items: int = 2, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with `n_words`, `n_hit`, `n_items`, `items` (sorted array of strings) and `contaminated`.
+
+    A window is SPAN consecutive words of an item, or all of a shorter item. Of each SPAN words
+    of documents and items the least GRAM-word hash is kept, and all that tie; so two texts that
+    share a window share a kept hash. Kept hashes of documents are joined with those of the items
+    (a fixed-size sieve of the items' hashes first drops most that have no match), the hits are
+    extended to the windows around them, and these are joined with the items' by their words.
+    Shorter items are found by one hash of all their words. A word is hit inside any window's
+    occurrence.
+
+    The test set may be of any size: windows and fingerprints are tables, and only the sieve, of
+    SIEVE bits, goes to the executors. Null text has no words; items without words, or without an
+    id, have no window or no name and are never listed. Items that repeat count once by id, and
+    texts that repeat are searched once. Empty tables on either side are fine. Other columns
+    pass through whatever their names; those with the names of new ones are replaced. Long
+    texts are hashed CHUNK bytes at a time, parts that overlap by SPAN - 1 words.
+    """
+    new = ("n_words", "n_hit", "n_items", "items", "contaminated")
+    names = [c for c in docs.columns if c.lower() not in new]
+    found = found_windows(docs, bench, text, item, item_text).withColumnsRenamed({"t1": "f1", "t2": "f2"})
+    a, b = hash_pair(text_of(docs, text))
+    n_words = F.regexp_count(text_of(docs, text), F.lit(WORD)).cast("long")
+    named = docs.select(carried(docs, names).alias("row"), a.alias("t1"), b.alias("t2"), n_words.alias("n_words"))
+    out = named.join(found, (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(*restored(names), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                      items.alias("items"), (F.size(items) >= min_items).alias("contaminated"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
