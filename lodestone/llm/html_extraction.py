@@ -306,7 +306,7 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, leas
 
     Tokens of a host belong to one class if they occur equally often on each page, that is if
     their occurrence vectors are equal; vectors are compared by two sums of hashes of (page,
-    count). A class is valid if it has least_tokens tokens and stands on least_pages pages and on
+    count). A class is valid if it has least_tokens tokens (elements alone count as holders) and stands on least_pages pages and on
     over the given part of the host's; texts in a main part must stand on all of them. Hosts
     need least_pages different pages. Template nests the classes into each other.
     Counts are summed on the map side; a host with a third of all pages costs a task its
@@ -339,8 +339,11 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, leas
     counted = stash(each.groupBy("host", "id", "up", "kind", "leaf").agg(F.sum("n").alias("n"), whole("v1"), whole("v2"), F.sum("letters").alias("letters")))
     enough = F.when(F.col("kind") == INNER_TEXT, F.col("n") == F.col("pages")).otherwise(F.col("n") > support * F.col("pages"))
     fit = counted.where(F.col("n") >= least_pages).join(of, "host").where(enough)
-    classes = fit.groupBy("host", "n", "v1", "v2").agg(F.collect_list(F.struct("id", "up", "kind", "leaf", "letters")).alias("tokens")).where(F.size("tokens") >= least_tokens)
-    kept = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    classes = fit.groupBy("host", "n", "v1", "v2").agg(F.collect_list(F.struct("id", "up", "kind", "leaf", "letters")).alias("tokens"))
+    # an element that shares its vector with nothing may hold what is the template's, but is no place to look for the main slots
+    alone = F.transform(F.filter("tokens", lambda x: x["kind"] < TEXT), lambda x: F.struct(x["id"].alias("id"), x["up"].alias("up"), x["kind"].alias("kind"), F.lit(True).alias("leaf"), x["letters"].alias("letters")))
+    valid = classes.select("host", F.when(F.size("tokens") >= least_tokens, F.col("tokens")).otherwise(alone).alias("tokens"))
+    kept = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).where(F.size("tokens") > 0)
     return kept.select("host", F.array_sort("tokens").alias("template"))
 
 

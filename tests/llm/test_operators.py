@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate as dec
@@ -155,8 +158,20 @@ def test_components(spark):
     assert got == {k: v for k, v in up.items() if k in {x for e in edges if e[0] != e[1] for x in e}}
 
 
-@pytest.mark.parametrize("block", [dec.BLOCK_BYTES, 200])
-def test_decontaminate(spark, docs, empty, block):
+def test_chunks_hold_all_windows(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 300]))) for _ in range(800)).encode()
+    whole = dec.Words([text])
+    want = {(int(at), int(h)) for span, places, hashes in dec.prints(whole, [3, 8]) for at, h in zip(places, hashes)}
+    monkeypatch.setattr(dec, "CHUNK", 500)
+    got, parts = set(), list(dec.chunks(text))
+    for first, part in parts:
+        for _, places, hashes in dec.prints(dec.Words([part]), [3, 8]):
+            got |= {(int(at) + first, int(h)) for at, h in zip(places, hashes)}
+    assert got == want and len(parts) > 20 and parts[0][1] + b"" == text[: len(parts[0][1])]
+
+
+def test_decontaminate(spark, docs, empty):
     base = ROWS[5][1].split()
     items = [(1, " ".join(base[10:30]).upper()), (2, " ".join(base[28:40])), (3, "edited"), (4, None), (5, ""), (None, "word word"), (6, "No such words here at all or anywhere"), (1, "x"), (7, "word word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -176,7 +191,7 @@ def test_decontaminate(spark, docs, empty, block):
                         hit.update(range(x, x + k))
                         ids.add(str(i))
         want[r[0]] = (len(w), len(hit), sorted(ids), len(ids) >= 2)
-    out = dec.decontaminate(docs, bench, block_bytes=block)
+    out = dec.decontaminate(docs, bench)
     assert {r.doc_id: (r.n_words, r.n_hit, r.items, r.contaminated) for r in out.collect()} == want
     assert dec.decontaminate(empty, bench).count() == 0
     assert dec.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
@@ -235,29 +250,73 @@ def test_html_extraction(spark):
     assert got[0].text == "T & x onetwo three four five" and got[1].text == "x" and got[2].text == got[3].text == "" and got[4].text == "plain <text>"
     assert all(got[5 + i].text == f"story {i} that is long enough to be the main slot of it and goes on {i}" for i in range(5))
     assert all(r.n_chars == len(r.text) for r in got.values()) and hx.extract(df.where("false")).count() == 0
-    found = {r.host: {x.token for x in r.template} for r in hx.templates(df.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
-    assert any("#" in t for t in found["c.org"]) and "a.org" not in found
-
-
-def test_template_names_the_slots():
-    """A page's own elements say nothing of its main part here; only the host's pages together do."""
-    page = "<div id=a><p>{0}</p></div><div id=b><p>Always the same long words that any page of this host has, and more of them.</p></div><div id=c>{1}</div>"
-    pages = [page.format(f"Story number {i}, in a few words.", f"<i>{'x' * i}</i>") for i in range(6)]
-    seen = {}
-    for p in pages:
-        for t, (n, letters) in hx.tokens(hx.parse(p)).items():
-            seen.setdefault(t, []).append((n, letters))
-    template = hx.Template([{"token": t, "letters": sum(x for _, x in v)} for t, v in seen.items() if [n for n, _ in v] == [1] * 6])
-    assert template.main == {"/div[a]"} and len(template.texts) == 1
-    assert [hx.main_text(p, template) for p in pages] == [f"Story number {i}, in a few words." for i in range(6)]
-    assert hx.main_text("<article>other</article>", template) == "other" and hx.main_text(None, template) == ""
+    found = {r.host: {x.kind for x in r.template} for r in hx.templates(df.select(uf.host_of(F.col("url")).alias("host"), "html")).collect()}
+    assert hx.TEXT in found["c.org"] and "a.org" not in found
+
+
+def test_templates_decide_where_pages_say_nothing(spark):
+    """Hosts without article or main: what is alike on their pages goes, whatever its length, and names that sound like clutter do not matter."""
+    words = [f"word{i}" for i in range(300)]
+    rng = random.Random(8)
+    rows, want = [], {}
+    for h in range(4):
+        always = " ".join(rng.sample(words, 80))
+        for i in range(6):
+            story = [" ".join(rng.sample(words, rng.randint(3, 12))) for _ in range(3)]
+            page = (f"<body><div class='box{h}'><p>{always}</p></div><div class='story-header sidebar-free'><section class='share-price'><h2 id='header-files'>{story[0]}</h2>"
+                    f"<p class='notice-period'>{story[1]}</p><ul id='menu-of-the-day'><li>{story[2]}</li></ul></section></div><div id='x{i}'><a href='/'>{always}</a></div></body>")
+            want[len(rows)] = (" ".join(story), page)
+            rows.append((len(rows), f"http://h{h}.org/{i}", page))
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {k: v[0] for k, v in want.items()}
+    assert sum(hx.main_text(page) == text for text, page in want.values()) == 0  # each page by itself is read wrongly
+
+
+def test_notices_within_the_article(spark):
+    """A text on all pages of a host goes from the article too, but not where it is most of what stands there."""
+    page = "<body><nav>menu</nav><article><h1>Title {0}</h1><p>Read our terms.</p><p>Story {0} has words of its own and enough of them.</p></article></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(5)]
+    rows += [(10 + i, f"http://b.org/{i}", f"<body><nav>menu {i}</nav><article><p>One story, printed on each page of this host.</p></article></body>") for i in range(4)]
+    rows += [(20 + i, "http://c.org/", rows[0][2]) for i in range(4)]  # copies of one page are no template
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Story {i} has words of its own and enough of them." for i in range(5))
+    assert all(got[10 + i] == "One story, printed on each page of this host." for i in range(4))
+    assert all(got[20 + i] == "Title 0 Read our terms. Story 0 has words of its own and enough of them." for i in range(4))
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<b>x" * 200_000, '<a "' * 250_000, '<a href="' * 110_000, "<div>" * 50_000 + "</p>" * 100_000, "<p><button>" + "<b>" * 100_000 + "<hr>" * 100_000, "<" * 1_000_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    small = page[: len(page) // 8]
+    hx.main_text(small)
+    part = time.process_time() - began
+    hx.main_text(page)
+    assert time.process_time() - began < 40 * part + 2
+
+
+def tree(page):
+    """Tags and texts of a page, written out."""
+    def out(node):
+        return "".join(x if isinstance(x, str) else f"<{x.tag}>{out(x)}</{x.tag}>" for x in node.children)
+
+    return out(hx.parse(page))
+
+
+@pytest.mark.parametrize(("page", "shown"), [
+    ("<p>a<p>b", "<p>a</p><p>b</p>"), ("<ul><li>a<li><b>c</ul>d", "<ul><li>a</li><li><b>c</b></li></ul>d"), ("a < b <c>", "a < b <c></c>"), ("x<br/>y<img src='a>b'>z", "x<br></br>y<img></img>z"),
+    ("<a title=\"x>y\">t</a>", "<a>t</a>"), ("<p don't>t</p>", "<p>t</p>"), ("<script>a</b</script>c", "<script>a</b</script>c"), ("a<!-- <p> -->b", "ab"), ("<!-- a", ""), ("a</p>b</", "ab</"), ("<td>a<td>b", "<td>a</td><td>b</td>"),
+    ("<p a='b>c</p>", "<p>c</p>"), ("<!doctype html>a<?x?>b", "ab"),
+])
+def test_parse(page, shown):
+    assert tree(page) == shown
 
 
 def test_main_part_of_the_template_wins():
     """An article that only some pages have is no part of the template, so it fills a slot of what holds it."""
-    tokens = [{"token": t, "letters": 90} for t in ("/body", "/body/+main", "/body/-nav")]
-    page = "<body><nav>menu</nav><main>one <article>two</article> <div class=share>no</div> three</main></body>"
-    assert hx.main_text(page, hx.Template(tokens)) == "one two three"
+    page = "<body><nav>menu</nav><main>one <article>two</article> <section class=notice>no</section> three</main></body>"
+    rows = [{"id": n.id, "up": n.up, "kind": hx.CLUTTERED if n.clutter else hx.MAIN_PART if n.main else hx.ELEMENT, "leaf": False, "letters": 90} for n, _ in hx.measure(hx.parse(page)) if n.tag in ("body", "main", "nav")]
+    template = hx.Template(rows)
+    assert hx.main_text(page, template) == "one two three" and hx.main_text("<article>other</article>", template) == "other" and hx.main_text(None, template) == ""
 
 
 def test_url_filters(spark):
@@ -281,3 +340,178 @@ def test_scores_do_not_stop_short_among_many_seeds(spark):
         hosts = spark.range(seeds).select(F.concat(F.lit("s"), "id").alias("host"), F.lit(0.0).alias("trusted"), F.lit(1.0).alias("blocked"))
         got = {r.host: r.distrust * seeds for r in uf.propagate(hosts, edges).where("host like 'c%'").collect()}
         assert all(abs(got[h] / (0.15 * 0.85 ** (12 - i)) - 1) < 1e-9 for i, h in enumerate(chain))
+
+
+def rank(seeds, links, damping=0.85, rounds=400):
+    """Personalised PageRank by definition: each host divides its own among those it links to."""
+    total = sum(seeds.values()) or 1.0
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    x = {h: (1 - damping) * s / total for h, s in seeds.items()}
+    for _ in range(rounds):
+        new = {h: (1 - damping) * s / total for h, s in seeds.items()}
+        for a, to in out.items():
+            for b in to:
+                new[b] = new.get(b, 0.0) + damping * x.get(a, 0.0) / len(to)
+        x = new
+    return x
+
+
+def test_trust_and_distrust_over_a_graph(spark):
+    """500 hosts with hubs, cycles and chains, against the definition."""
+    rng = random.Random(9)
+    hosts = [f"h{i}.org" for i in range(500)]
+    links = {(rng.choice(hosts), rng.choice(hosts[:8])) for _ in range(600)} | {(rng.choice(hosts[:8]), rng.choice(hosts)) for _ in range(300)}
+    links |= {(hosts[i], hosts[i + 1]) for i in range(100, 160)} | {(hosts[160], hosts[100])} | {(rng.choice(hosts), rng.choice(hosts)) for _ in range(400)}
+    links = {(a, b) for a, b in links if a != b}
+    good, bad = set(hosts[40:60]), set(hosts[200:230])
+    rules = [("allow", h, "/") for h in good] + [("block", h, "/") for h in bad]
+    page = lambda h: "".join(f'<a href="http://{b}/x">y</a>' for a, b in sorted(links) if a == h)
+    df = spark.createDataFrame([(i, f"http://{h}/p", page(h)) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    trust = rank({h: 1.0 * (h in good) for h in hosts}, links)
+    distrust = rank({h: 1.0 * (h in bad) for h in hosts}, {(b, a) for a, b in links})
+    got = {r.host: r for r in uf.filter_urls(df, rules).collect()}
+    for h in hosts:
+        assert abs(got[h].trust - trust.get(h, 0.0)) < 1e-6 and abs(got[h].distrust - distrust.get(h, 0.0)) < 1e-6
+        if h not in good | bad and abs(distrust.get(h, 0.0) - trust.get(h, 0.0)) > 1e-6:
+            assert got[h].verdict == ("block" if distrust.get(h, 0.0) > trust.get(h, 0.0) else "allow")
+    assert len({got[h].verdict for h in hosts if h not in good | bad}) == 2
+    with pytest.raises(RuntimeError):
+        uf.filter_urls(df, rules, rounds=2)
+
+
+def slot(key, ident, n):
+    """Spark's hash of two longs, a null one left out."""
+    h = 42
+    for v in (key, ident):
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return (h - (1 << 64) if h >> 63 else h) % n
+
+
+def test_shard_against_brute_force(spark):
+    """Slots, bytes and places by hand; many equal rows without a key are dealt over slots of their own, so that bytes stay near equal."""
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(1, 400)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(docs, 7, 256).collect()
+    ident = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
+    slots = {r: slot(r[0], ident(r[1]), 256) for r in rows}
+    assert all(r.vslot == slots[r.doc_id, r.text] for r in got)
+    sizes = [0] * 256
+    for (_, t), v in slots.items():
+        sizes[v] += len(t) + 16
+    by = sharding.SlotMap.balanced(sizes, 7)
+    assert all(r.shard == by.shards[r.vslot] for r in got)
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += len(r.text) + 16
+    assert max(loads.values()) - min(loads.values()) <= max(sizes)
+    for s in range(7):
+        own = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and [(r.vslot, r.doc_id) for r in own] == sorted((r.vslot, r.doc_id) for r in own)
+    hot = spark.createDataFrame(rows + [(None, None)] * 2000, "doc_id long, text string").repartition(5)
+    got = sharding.shard(hot, 7, 256).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += len(r.text or "") + 16
+    assert len(got) == 3500 and max(loads.values()) - min(loads.values()) < 0.03 * sum(loads.values()) / 7
+    assert max(Counter(r.vslot for r in got if r.doc_id is None).values()) < 100
+    for s in range(7):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_maps_are_stored_and_edited(spark, tmp_path):
+    rows = [(i, "x" * (i % 50)) for i in range(3000)]
+    at = str(tmp_path / "maps")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.shard for r in sharding.shard(docs, 5, 512, maps=at).collect()}
+    again = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard(docs, 5, 512, maps=at).collect()}
+    assert again == {k: (s, 1) for k, s in one.items()}
+    more = spark.createDataFrame(rows + [(None, "y" * 400)] * 300, "doc_id long, text string")
+    got = sharding.shard(more, 5, 512, maps=at).collect()
+    moved = sum(one[r.doc_id] != r.shard for r in got if r.doc_id is not None)
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += len(r.text) + 16
+    assert {r.map_version for r in got} == {3} and moved < 1500 and max(loads.values()) < 1.02 * sum(loads.values()) / 5
+    assert sharding.SlotMap.read(spark, at, 1).shards == sharding.SlotMap.read(spark, at).shards[:512] or moved
+
+
+@pytest.mark.parametrize(("heavy", "candidates"), [(100_000, 20), (5, 0)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, heavy, candidates):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    monkeypatch.setattr(simhash, "CANDIDATES", candidates)
+    rng = random.Random(11)
+    flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
+    fps = {rng.getrandbits(64) for _ in range(200)}
+    for _ in range(6):
+        c = rng.getrandbits(64)
+        fps |= {c} | {flip(c, rng.randint(1, 7)) for _ in range(40)}
+        for _ in range(12):  # a chain that drifts away
+            c = flip(c, 4)
+            fps.add(c)
+    fps = sorted(fps)
+    label = {x: x for x in fps}
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 4 and label[x] != label[y]:
+                a, b = sorted((label[x], label[y]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    path = spark.createDataFrame([(simhash.as_signed(x),) for x in fps], "fp long")
+    found = simhash.links(simhash.stash(path))
+    m = (1 << 64) - 1
+    assert all(((r.a ^ r.b) & m).bit_count() <= 4 for r in found.collect())
+    got = {r.node & m: r.least & m for r in simhash.components(found).collect()}
+    groups = lambda of: sorted(sorted(x for x in fps if of(x) == g) for g in {of(x) for x in fps})
+    assert groups(lambda x: got.get(x, x)) == groups(lambda x: label[x])
+
+
+def test_a_dense_neighbourhood_makes_rows_in_proportion(spark):
+    """All pairs of 3,000 fingerprints around one centre would be millions; links stay a few for each."""
+    rng = random.Random(12)
+    fps = {0}
+    while len(fps) < 3000:
+        fps.add(sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
+    found = simhash.links(simhash.stash(spark.createDataFrame([(simhash.as_signed(x),) for x in fps], "fp long")))
+    assert found.count() < 20 * 3000 and {r.least for r in simhash.components(found).collect()} == {min(map(simhash.as_signed, fps))}
+
+
+#: Names that operators use for themselves.
+INNER = ("row", "t1", "t2", "r1", "r2", "f1", "f2", "h1", "h2", "key", "size", "ident", "s", "of", "found", "common", "hit", "prints", "spans", "template", "html_", "_text", "_source", "_before", "first", "salt", "rank", "before", "_m_words", "cdf", "parts")
+
+
+def test_other_columns_pass_whatever_their_names(spark):
+    rows = [(1, "Some words here\nand there", "a"), (2, None, "a"), (3, "Some words here\nand there", None), (3, "Some words here\nand there", None), (4, "x " * 200, "b")]
+    extra = [f"{c}:{{0}}" for c in INNER]
+    docs = spark.createDataFrame([(*r, *(e.format(i) for e in extra)) for i, r in enumerate(rows)], f"doc_id long, text string, source string, {', '.join(f'`{c}` string' for c in INNER)}")
+    bench = spark.createDataFrame([(1, "some words here and there", "q")], "item_id long, text string, t1 string")
+    outs = {
+        "op1": line_dedup.dedup_lines(docs), "op3": mixing.mix(docs, {"a": 1.0, "b": 1.0}), "op4": sd.remove_repeats(docs), "op6": sharding.shard(docs, 2, 16), "op7": quality_rules.ledger(docs),
+        "op8": token_counts.count_tokens(docs, MODEL), "op9": dec.decontaminate(docs, bench)}
+    for name, out in outs.items():
+        for r in out.collect():
+            i = int(r["t1"].split(":")[1])
+            assert all(r[c] == f"{c}:{i}" for c in INNER) and r.doc_id == rows[i][0], name
+        assert name == "op3" or out.count() == 5, name
+    assert {r.n_hit for r in outs["op9"].collect() if r.doc_id in (1, 3)} == {5}
+    pages = docs.withColumnsRenamed({"text": "html", "source": "host"}).withColumn("url", F.lit("http://a.org/x"))
+    for r in hx.extract(pages, key="doc_id").collect():
+        assert r["row"].startswith("row:") and r["t1"].startswith("t1:") and "host" in r.__fields__
+    got = uf.filter_urls(pages, key="host").collect()
+    assert len(got) == 5 and {r["_host"] for r in got} == {"a", "b", None} and {r.host for r in got} == {"a.org"}
+    assert simhash.near_groups(docs).count() == 5
+
+
+def test_very_long_texts(spark):
+    """One text of 4 MB among short ones, for each operator that reads documents."""
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(560_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "short text", "a"), (3, long[1000:3000], "a")], "doc_id long, text string, source string")
+    one = {r.doc_id: r for r in dec.decontaminate(docs, spark.createDataFrame([(7, long[2_000_000:2_000_400])], "item_id long, text string")).collect()}
+    assert one[1].items == ["7"] and one[1].n_words == 560_000 and not one[3].items
+    assert {r.doc_id: r.n_removed for r in sd.remove_repeats(docs).select("doc_id", "n_removed").collect()} == {1: 2000, 2: 0, 3: 2000}
+    assert {r.doc_id: r.n_words for r in quality_rules.ledger(docs).select("doc_id", "n_words").collect()}[1] == 560_000
+    assert line_dedup.dedup_lines(docs).count() == 3 and sharding.shard(docs, 2, 16).count() == 3 and simhash.near_groups(docs).count() == 3
+    assert token_counts.count_tokens(docs, MODEL).where("n_tokens > 1000000").count() == 1
