@@ -17,8 +17,9 @@ from .common import LOWER, UPPER, load, quoted, stash, text_of
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: A probe or index row moves through a shuffle and a sort (some 1.7 us as measured); a candidate is one test of two longs in the join (0.1 us).
 ROW_COST, CANDIDATE_COST = 17.0, 1.0
-#: A bucket with over HEAVY candidates is heavy; if the heavy ones have over CANDIDATES for each fingerprint, they are first joined by LEADERS of each.
-HEAVY, CANDIDATES, LEADERS = 100_000, 20, 8
+#: A bucket with over HEAVY candidates is heavy. If the heavy ones have over CANDIDATES for each fingerprint, which is what a
+#: round of some 20 rows for each costs, they are first joined by LEADERS of each bucket.
+HEAVY, CANDIDATES, LEADERS = 100_000, int(20 * ROW_COST / CANDIDATE_COST), 8
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -187,7 +188,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 (F.sum("i") * F.sum("p") - F.sum(F.col("i") * F.col("p"))).alias("apart"), F.max_by("comp", F.col("i") + F.col("p")).alias("major"))
         heavy = stash(each.where(F.col("apart") > HEAVY))
         most = heavy.agg(F.sum("apart")).first()[0] or 0
-        if most <= CANDIDATES * n or most > 0.9 * last:
+        if most <= CANDIDATES * n or most > 0.75 * last:
             break
         last = most
         of_heavy = rows.join(heavy.select(*key), key)
@@ -197,7 +198,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         new = of_heavy.where("probe").join(leaders, key).select("fp", F.explode(F.array_distinct(F.transform(own, lambda x: x["fp"]))).alias("b"))
         new = new.select(F.col("fp").alias("a"), "b")
         found = stash(forest(new if found is None else found.union(new)))
-        names = stash(components(found))
+        names = components(found)
         nodes = stash(fps.join(names, fps["fp"] == names["node"], "left").select("fp", F.coalesce("least", "fp").alias("comp")))
     x, y = (rows.where(side).drop("probe") for side in ("NOT probe", "probe"))
     if most and found is not None:
@@ -246,8 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round joins each node's neighbours to the least of them; rounds go on until the edges
     no longer change, which they do within some log(n) squared rounds. Each round's edges are a
-    table in the shared folder, and so are the least neighbours, so that their join deals both
-    sides anew and the edges of a hot node can be split.
+    table in the shared folder, and so are the least neighbours of nodes that have larger ones:
+    the centres of stars, few as a rule, so that no join needs a hot centre's edges in one task.
     """
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -258,10 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
     now, seen = mark(edges), None
     while now[0] and now != seen:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stash(large)
-        least = stash(large.groupBy("a").agg(F.min("b").alias("m")))
+        centres = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("top")).where("top > a").drop("top"))
+        large = both.where("b > a").join(centres, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stash(small.where("a <> b").distinct())
         now, seen = mark(edges), now
