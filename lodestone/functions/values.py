@@ -49,15 +49,13 @@ def es15_8(x: float) -> str:
         return "NaN"
     if x in (float("inf"), float("-inf")):
         return "Infinity" if x > 0 else "-Infinity"
-    if not x:
-        return "0.00000000E+00"
-    text = f"{Decimal(x).normalize():E}"
-    exponent = int(text.split("E")[1])
-    digits = (Decimal(x).scaleb(-exponent)).quantize(Decimal("1.00000000"), ROUND_HALF_UP)
-    if abs(digits) >= 10:
+    text = f"{Decimal(repr(x)).normalize():E}"  # the shortest decimal that reads as x, as the column form has it
+    sign, exponent = "-" if str(x).startswith("-") else "", int(text.split("E")[1]) if x else 0
+    digits = abs(Decimal(repr(x))).scaleb(-exponent).quantize(Decimal("1.00000000"), ROUND_HALF_UP)
+    if digits >= 10:
         digits, exponent = digits / 10, exponent + 1
-    sign = "-" if exponent < 0 else "+"
-    return f"{digits:.8f}" + (f"E{sign}{abs(exponent):02d}" if abs(exponent) < 100 else f"{sign}{abs(exponent):03d}")
+    end = f"E{'-' if exponent < 0 else '+'}{abs(exponent):02d}" if abs(exponent) < 100 else f"{'-' if exponent < 0 else '+'}{abs(exponent):03d}"
+    return f"{sign}{digits:.8f}{end}"
 
 
 def es15_8_column(c: Column) -> Column:

@@ -115,8 +115,7 @@ def select(df: DataFrame, columns: Sequence[ColumnDef], names: Sequence[str] | N
         column_of(columns, n)
     out = filter_rows(df, columns, groups)
     index = band_index(columns, indices, groups)
-    if index:
-        out = out.where(reduce(Column.__and__, (col(m).isNotNull() for m in index)))
+    if index:  # it gives the order alone; rows that are null in another member come behind, and an index never changes the rows
         ties = [*index, *ties]
     if order is not None:
         if column_of(columns, order).dtype in ("text", "opaque"):
@@ -168,18 +167,17 @@ def match(df: DataFrame, name: str, pattern: str) -> DataFrame:
     return df.where(col(name).rlike(pattern))
 
 
-def dense_ids(df: DataFrame, first: int, name: str = RID) -> DataFrame:
-    """df with ids first, first + 1, … in the order of its partitions and rows.
+def dense_ids(held: DataFrame, mark: str, first: int, name: str = RID) -> tuple[DataFrame, int]:
+    """(rows of held with ids first, first + 1, … in the order of mark, their number).
 
-    Rows are numbered inside their partitions; only the partitions' counts, a row for each,
-    are gathered. df must be stored, so that it is partitioned alike each time it is read.
+    mark is a monotonically increasing id that is stored with the rows. Only a count for each
+    writing task is gathered, and joined back as a small table.
     """
-    mark = df.withColumn("_m", F.monotonically_increasing_id())
-    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = mark.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, pairs = first, []
-    for r in counts:
-        pairs += [F.lit(r.p), F.lit(before)]
-        before += r.n
-    base = F.create_map(*pairs)[part] if pairs else F.lit(first)
-    return mark.withColumn(name, (base + inside).cast("int")).drop("_m")
+    part, inside = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    n, starts = 0, []
+    for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        starts.append((r.p, first + n))
+        n += r.n
+    of = held.sparkSession.createDataFrame(starts, "_part long, _first long")
+    joined = held.withColumn("_part", part).join(F.broadcast(of), "_part")
+    return joined.withColumn(name, F.col("_first") + inside).drop("_part", "_first", mark), n

@@ -9,7 +9,7 @@ import uuid
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,17 @@ from .sources.store import Files, Store
 from .streaming.cursor import Cursor, scan
 
 SPARK_TYPES = {"int": T.IntegerType(), "real": T.DoubleType(), "char": T.StringType(), "text": T.StringType()}
-MAX_RECORD, MAX_RID, HISTORY = 1 << 20, (1 << 31) - 1, 100
+#: Row ids are longs; the greatest INTEGER.
+MAX_RECORD, MAX_RID, MAX_INT, HISTORY = 1 << 20, (1 << 63) - 1, (1 << 31) - 1, 100
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new database's place in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new database's place in the folder that the cluster shares; on one machine, where none is named, a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise invalid("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return f"{base.removeprefix('file://')}/lodestone-db-{uuid.uuid4().hex}"
 
 
@@ -123,9 +128,15 @@ class Session:
     def rows(self, name: str) -> DataFrame:
         """The table with its row ids; columns are found by id, so a dropped name never comes back."""
         t = self._table(name)
-        schema = T.StructType([T.StructField(RID, T.IntegerType()), *[T.StructField(f"c{c['id']}", SPARK_TYPES[c["dtype"]]) for c in t["columns"]]])
-        df = self.spark.read.schema(schema).parquet(*[self.store.part(p) for p in t["parts"]]) if t["parts"] else self.spark.createDataFrame([], schema)
-        return df.select(RID, *[F.col(f"c{c['id']}").alias(c["name"]) for c in t["columns"]])
+        return self._read(t).select(RID, *self._named(t))
+
+    def _read(self, t: dict) -> DataFrame:
+        schema = T.StructType([T.StructField(RID, T.LongType()), *[T.StructField(f"c{c['id']}", SPARK_TYPES[c["dtype"]]) for c in t["columns"]]])
+        return self.spark.read.schema(schema).parquet(*[self.store.part(p) for p in t["parts"]]) if t["parts"] else self.spark.createDataFrame([], schema)
+
+    @staticmethod
+    def _named(t: dict) -> list:
+        return [F.col(f"c{c['id']}").alias(c["name"]) for c in t["columns"]]
 
     def df(self, name: str) -> DataFrame:
         return self.rows(name).drop(RID)
@@ -153,6 +164,8 @@ class Session:
         self._staged = self._before = self._label = None
         if staged == before:
             return
+        named = {p for t in staged["tables"].values() for p in t["parts"]}
+        staged["digests"] = {p: d for p, d in staged.get("digests", {}).items() if p in named}
         try:
             self.store.commit(staged)
         except BaseException:
@@ -338,7 +351,11 @@ class Session:
         name = f"{state['next_part']:08d}"
         state["next_part"] += 1
         ids = {c["name"]: c["id"] for c in state["tables"][table]["columns"]}
-        df.select(RID, *[R.col(c).alias(f"c{i}") for c, i in ids.items()]).write.mode("overwrite").parquet(self.store.part(name))
+        out = df.select(F.col(RID).cast("long").alias(RID), *[R.col(c).alias(f"c{i}") for c, i in ids.items()])
+        seen = Observation()
+        out.observe(seen, _content(out.columns).alias("h")).write.mode("overwrite").parquet(self.store.part(name))
+        ddl = ", ".join(f"{c} {t}" for c, t in out.dtypes)
+        state["digests"] = {**state.get("digests", {}), name: [ddl, str(seen.get["h"])]}
         return name
 
     def _append(self, state: dict, table: str, df: DataFrame, n: int) -> None:
@@ -361,7 +378,7 @@ class Session:
         first = self._table(table)["next_id"]
         if first - 1 + len(rows) > MAX_RID:
             raise EngineError(Status.FULL, "no row ids are left")
-        schema = T.StructType([T.StructField(RID, T.IntegerType()), *[T.StructField(c.name, SPARK_TYPES[c.dtype]) for c in columns]])
+        schema = T.StructType([T.StructField(RID, T.LongType()), *[T.StructField(c.name, SPARK_TYPES[c.dtype]) for c in columns]])
 
         def edit(state):
             df = self.spark.createDataFrame([(first + i, *v) for i, v in enumerate(values)], schema).coalesce(1)
@@ -396,14 +413,9 @@ class Session:
                 long = [c for c in columns if c.dtype == "char"]
                 if long and not held.where(" OR ".join(f"octet_length({R.quoted(c.name)}) > {c.csize}" for c in long)).isEmpty():
                     raise invalid("a value is too long for its column")
-                part, inside = F.shiftright("_o", 33), F.col("_o").bitwiseAND(F.lit((1 << 33) - 1))
-                counts, n, pairs = held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect(), 0, []
-                for r in counts:
-                    pairs += [F.lit(r.p), F.lit(state["tables"][table]["next_id"] + n)]
-                    n += r.n
+                new, n = R.dense_ids(held, "_o", state["tables"][table]["next_id"])
                 if not n:
                     return 0
-                new = held.withColumn(RID, (F.create_map(*pairs)[part] + inside).cast("int")).drop("_o")
                 if self.indices(table):
                     self._check_new(table, new)
                 self._append(state, table, new, n)
@@ -416,23 +428,20 @@ class Session:
         return self._change(edit)
 
     def _rewrite(self, table: str, hit, new_rows, touched: set[str] | None) -> int:
-        """Copy on write: only parts that have a row that is hit are written anew. The number of rows hit."""
+        """Copy on write: only parts that have a row that is hit are written anew, all in one job. The number of rows hit."""
         def edit(state):
             t = state["tables"][table]
-            parts, total, kept = list(t["parts"]), 0, []
-            for p in parts:
-                own = {**t, "parts": [p]}
-                state["tables"][table] = own
-                rows = self.rows(table)
-                n = rows.where(hit).count() if hit is not None else rows.count()
-                total += n
-                kept.append(p if not n else None)
-                if n:
-                    out = new_rows(rows)
-                    if out is not None:
-                        kept[-1] = self._write(state, table, out)
-            state["tables"][table] = t
-            t["parts"] = [p for p in kept if p]
+            test = F.lit(True) if hit is None else F.coalesce(hit, F.lit(False))
+            counts: dict[str, int] = {}
+            if t["parts"]:
+                each = self._read(t).select(RID, *self._named(t), _part_of().alias("_part")).where(test).groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+                counts = {r["_part"]: r["n"] for r in each.collect()}  # a row for each part at most
+            total, kept = sum(counts.values()), [p for p in t["parts"] if p not in counts]
+            if counts:
+                out = new_rows(self._read({**t, "parts": sorted(counts)}).select(RID, *self._named(t)))
+                if out is not None:
+                    kept.append(self._write(state, table, out))
+            t["parts"] = kept
             if touched is None:
                 t["live"] -= total
             elif total:
@@ -559,12 +568,8 @@ class Session:
             ordered = self.rows(table).repartitionByRange(RID).sortWithinPartitions(RID)
             ordered.withColumn("_o", F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
             held = self.spark.read.parquet(staged)
-            part, inside = F.shiftright("_o", 33), F.col("_o").bitwiseAND(F.lit((1 << 33) - 1))
-            n, pairs = 0, []
-            for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
-                pairs += [F.lit(r.p), F.lit(1 + n)]
-                n += r.n
-            t["parts"] = [self._write(state, table, held.withColumn(RID, (F.create_map(*pairs)[part] + inside).cast("int")))] if n else []
+            new, n = R.dense_ids(held, "_o", 1)
+            t["parts"] = [self._write(state, table, new)] if n else []
             t["next_id"], t["live"] = n + 1, n
             import shutil
 
@@ -578,6 +583,19 @@ class Session:
         t, out = self._table(table), []
         if lost := [p for p in t["parts"] if not os.path.isdir(self.store.part(p))]:
             return [f"parts are missing: {', '.join(lost)}"]
+        by_schema: dict[str, list[str]] = {}
+        digests = self.state.get("digests", {})
+        for p in t["parts"]:
+            by_schema.setdefault(digests[p][0], []).append(p)
+        try:
+            for ddl, parts in by_schema.items():
+                df = self.spark.read.schema(ddl).parquet(*[self.store.part(p) for p in parts])
+                got = {r["_part"]: str(r.h) for r in df.groupBy(_part_of().alias("_part")).agg(_content(df.columns).alias("h")).collect()}
+                out += [f"part {p} is damaged" for p in parts if got.get(p) != digests[p][1]]
+        except Exception as e:  # a file that can't be read; Spark names it
+            return [f"a part is damaged: {str(e).splitlines()[0]}"]
+        if out:
+            return out
         rows = self.rows(table)
         n, ids, top = rows.agg(F.count(F.lit(1)), F.countDistinct(RID), F.max(RID)).first()
         if n != t["live"]:
@@ -664,6 +682,15 @@ class Session:
         return Result("message", message="rolled back")
 
 
+def _content(names: list[str]):
+    """A sum over the hashes of rows: alike in any order, made while they are written."""
+    return F.sum(F.xxhash64(*names).cast("decimal(38,0)"))
+
+
+def _part_of():
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+
 #: In a row for update(): the column keeps its value.
 KEEP = object()
 
@@ -675,6 +702,6 @@ def _literal(v) -> Literal:
         return Literal("null")
     if isinstance(v, bool) or not isinstance(v, (int, float, str)):
         raise invalid(f"unsupported value {v!r}")
-    if isinstance(v, int) and not -(1 << 31) <= v <= MAX_RID:
+    if isinstance(v, int) and not -(1 << 31) <= v <= MAX_INT:
         raise invalid(f"integer out of range: {v}")
     return Literal({int: "int", float: "real", str: "str"}[type(v)], v)
