@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import EngineError, Status
 from .functions.values import es15_8_column
 from .operators import relational as R
 from .plans.dialect import ColumnDef, parse
@@ -167,17 +170,28 @@ def regex_match_ignoring_case(spark, d):
     return R.match(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "(?i)^S")
 
 
-@define("render_es15_8", None)
+@define("render_es15_8", "SELECT p_partkey, printf('%.8E', p_retailprice) AS shown FROM part")
 def render_es15_8(spark, d):
     return table(spark, d, "part").select("p_partkey", es15_8_column(F.col("p_retailprice")).alias("shown"))
 
 
+_opened: list = []
+
+
+@atexit.register
+def _clear() -> None:
+    for s in _opened:
+        s.close()
+        shutil.rmtree(s.store.path, ignore_errors=True)
+
+
 def stored(spark: SparkSession, d: str, name: str, columns: list[str], ids: str):
-    """A database in the shared folder with a copy of one table."""
+    """A database in the shared folder with a copy of one table; it is closed and deleted when the driver ends."""
     from .session import Session, scratch
 
     df = table(spark, d, name).select(*columns)
     s = Session.open(spark, scratch(spark))
+    _opened.append(s)
     kinds = {"int": "INTEGER", "bigint": "INTEGER", "double": "REAL", "string": "CHAR(64)"}
     s.sql(f"CREATE TABLE t ({', '.join(f'{c} {kinds[k]}' for c, k in df.dtypes)})")
     s.append("t", df.orderBy(ids))
@@ -250,3 +264,95 @@ def compact_renumber(spark, d):
     s.sql("DELETE FROM t WHERE o_totalprice < 100000.0")
     s.compact("t")
     return s.rows("t").select(F.col(R.RID).alias("row_id"), "o_orderkey")
+
+
+COMPOSITE = "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END"
+
+
+@define("composite_index_nulls", f"SELECT p_partkey, p_size, {COMPOSITE} AS brand FROM part WHERE p_size >= 20 ORDER BY p_size, brand NULLS LAST, p_partkey LIMIT 300")
+def composite_index_nulls(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_size", F.expr(COMPOSITE).alias("brand"))
+    return dialect(spark, df, "SELECT p_partkey, p_size, brand FROM t WHERE p_size >= 20 LIMIT 300", ("p_partkey",), (("p_size", "brand"),))
+
+
+@define("drop_table_then_create", "SELECT 7 AS a, 'again' AS b")
+def drop_table_then_create(spark, d):
+    s = stored(spark, d, "region", ["r_regionkey", "r_name"], "r_regionkey")
+    for text in ("DROP TABLE t", "CREATE TABLE t (a INTEGER, b CHAR(8))", "INSERT INTO t VALUES (7, 'again')"):
+        s.sql(text)
+    return s.sql("SELECT * FROM t").df
+
+
+@define("create_drop_index", "SELECT n_nationkey::INT AS n_nationkey, n_regionkey::INT AS n_regionkey FROM nation WHERE n_regionkey > 1 ORDER BY n_nationkey LIMIT 7")
+def create_drop_index(spark, d):
+    s = stored(spark, d, "nation", NATION, "n_nationkey")
+    s.sql("CREATE INDEX ON t (n_regionkey)")
+    s.sql("DROP INDEX ON t (n_regionkey)")
+    return s.sql("SELECT n_nationkey, n_regionkey FROM t WHERE n_regionkey > 1 LIMIT 7").df
+
+
+@define("update_row_by_id", "SELECT n_nationkey::INT AS n_nationkey, CASE WHEN n_nationkey = 2 THEN 'changed' ELSE n_name END AS n_name, CASE WHEN n_nationkey <> 2 THEN n_regionkey::INT END AS n_regionkey FROM nation")
+def update_row_by_id(spark, d):
+    s = stored(spark, d, "nation", NATION, "n_nationkey")
+    s.update("t", s.find_rid("t", F.col("n_nationkey") == 2), [2, "changed", None])
+    return s.sql("SELECT * FROM t").df
+
+
+@define("update_and_delete_by_key", "SELECT n_nationkey::INT AS n_nationkey, CASE WHEN n_nationkey = 3 THEN 'by key' ELSE n_name END AS n_name, n_regionkey::INT AS n_regionkey FROM nation WHERE n_nationkey <> 5")
+def update_and_delete_by_key(spark, d):
+    from .session import KEEP
+
+    s = stored(spark, d, "nation", NATION, "n_nationkey")
+    s.sql("CREATE UNIQUE INDEX ON t (n_nationkey)")
+    s.update_by_key("t", {"n_nationkey": 3}, [KEEP, "by key", KEEP])
+    s.delete_by_key("t", {"n_nationkey": 5})
+    return s.sql("SELECT * FROM t").df
+
+
+@define("set_text", "SELECT r_regionkey::INT AS r_regionkey, CASE WHEN r_regionkey = 1 THEN 'a long note' END AS note FROM region")
+def set_text(spark, d):
+    s = stored(spark, d, "region", ["r_regionkey"], "r_regionkey")
+    s.sql("ALTER TABLE t ADD COLUMN note TEXT")
+    s.set_text("t", s.find_rid("t", F.col("r_regionkey") == 1), "note", "a long note")
+    return s.sql("SELECT * FROM t").df
+
+
+@define("batch_insert_rejected", "SELECT r_regionkey::INT AS r_regionkey, r_name FROM region UNION ALL SELECT 11, 'fits'")
+def batch_insert_rejected(spark, d):
+    s = stored(spark, d, "region", ["r_regionkey", "r_name"], "r_regionkey")
+    s.sql("CREATE UNIQUE INDEX ON t (r_regionkey)")
+    try:
+        s.sql("INSERT INTO t VALUES (10, 'new'), (1, 'taken')")
+    except EngineError as e:
+        if e.status != Status.DUP:
+            raise
+    s.sql("INSERT INTO t VALUES (11, 'fits')")
+    return s.sql("SELECT * FROM t").df
+
+
+@define("redo_after_a_new_gesture", "SELECT r_regionkey::INT AS r_regionkey, r_name FROM region WHERE r_regionkey <> 2")
+def redo_after_a_new_gesture(spark, d):
+    s = stored(spark, d, "region", ["r_regionkey", "r_name"], "r_regionkey")
+    for key in (0, 2):
+        s.begin(label=f"delete {key}")
+        s.sql(f"DELETE FROM t WHERE r_regionkey = {key}")
+        s.commit()
+        if not key:
+            s.undo()
+    if s.can_redo():
+        s.redo()
+    return s.sql("SELECT * FROM t").df
+
+
+@define("pack_and_unpack", "SELECT r_regionkey::INT AS r_regionkey, r_name FROM region")
+def pack_and_unpack(spark, d):
+    from .session import Session, scratch
+    from .sources.store import pack, unpack
+
+    s = stored(spark, d, "region", ["r_regionkey", "r_name"], "r_regionkey")
+    s.set_readonly()
+    to = scratch(spark)
+    pack(s.store.path, f"{s.store.path}/one.pack")
+    unpack(f"{s.store.path}/one.pack", to)
+    _opened.append(Session.open(spark, to))
+    return _opened[-1].sql("SELECT * FROM t").df

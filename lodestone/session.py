@@ -474,6 +474,13 @@ class Session:
             raise missing(f"no row {row_id}")
         return out
 
+    def find_rid(self, table: str, test) -> int:
+        """The least id of the rows that meet a test."""
+        found = self.rows(table).where(test).agg(F.min(RID)).first()[0]
+        if found is None:
+            raise missing("no such row")
+        return found
+
     def update(self, table: str, row_id: int, row: list) -> None:
         """A row is replaced; its TEXT stays unless the new row has another value, or has null."""
         columns = self.columns(table)

@@ -7,7 +7,7 @@ from typing import TextIO
 
 from pyspark.sql import SparkSession
 
-from ..errors import EngineError
+from ..errors import EngineError, invalid, missing
 from ..session import Session
 from ..sources.store import pack, unpack
 
@@ -18,9 +18,11 @@ HELP = """Commands:
   .schema [table]        column definitions
   .pack <dir> <file>     a database as one file
   .unpack <file> <dir>   and back
+  .read <file>           run a file of lines
   .quit                  leave
 Anything else is a statement."""
 
+USAGE = {".open": "<dir>", ".pack": "<dir> <file>", ".unpack": "<file> <dir>", ".read": "<file>"}
 TYPES = {"int": "INTEGER", "real": "REAL", "text": "TEXT"}
 
 
@@ -31,14 +33,34 @@ def type_text(c) -> str:
 class SqlShell:
     def __init__(self, spark: SparkSession, out: TextIO = sys.stdout, err: TextIO = sys.stderr):
         self.spark, self.out, self.err, self.session = spark, out, err, None
+        self._files: list[str] = []
 
-    def run(self, lines) -> None:
+    def run(self, lines, prompt: str = "") -> None:
+        """prompt: shown before each line that is read."""
+        if prompt:
+            print("Statements, or .help", file=self.err)
+            print(prompt, end="", file=self.err, flush=True)
         for line in lines:
             if self.line(line.strip()):
                 break
+            if prompt:
+                print(prompt, end="", file=self.err, flush=True)
         if self.session:
             self.session.close()
 
+    def run_file(self, path: str) -> bool:
+        """The lines of a file, which may name further files; # begins a remark. Whether the shell ends."""
+        if len(self._files) >= 16:
+            raise invalid("files are nested too deeply")
+        self._files.append(path)
+        try:
+            with open(path, encoding="utf-8") as f:
+                return any(self.line(x.strip()) for x in f if not x.startswith("#"))
+        except OSError as e:
+            raise missing(f"can't read {path}") from e
+        finally:
+            self._files.pop()
+
     def line(self, text: str) -> bool:
         """Whether the shell ends."""
         try:
@@ -52,8 +74,6 @@ class SqlShell:
 
     def _open(self) -> Session:
         if not self.session:
-            from ..errors import invalid
-
             raise invalid("no database open")
         return self.session
 
@@ -61,9 +81,13 @@ class SqlShell:
         name = name.lower()
         if name in (".quit", ".exit", ".q"):
             return True
+        if name in USAGE and len(args) != len(USAGE[name].split()):
+            raise invalid(f"usage: {name} {USAGE[name]}")
+        if name == ".read":
+            return self.run_file(args[0])
         if name in (".help", ".h"):
             print(HELP, file=self.err)
-        elif name == ".open" and len(args) == 1:
+        elif name == ".open":
             if self.session:
                 self.session.close()
                 self.session = None
@@ -84,9 +108,9 @@ class SqlShell:
                 print(f"CREATE TABLE {t}", file=self.out)
                 for i, c in enumerate(columns):
                     print(f"    {c.name} {type_text(c)}" + ("," if i + 1 < len(columns) else ""), file=self.out)
-        elif name == ".pack" and len(args) == 2:
+        elif name == ".pack":
             pack(*args)
-        elif name == ".unpack" and len(args) == 2:
+        elif name == ".unpack":
             unpack(*args)
         else:
             print(f"unknown command: {name}", file=self.err)
@@ -98,7 +122,7 @@ def main() -> None:
     shell = SqlShell(spark)
     if len(sys.argv) > 1:
         shell.line(f".open {sys.argv[1]}")
-    shell.run(sys.stdin)
+    shell.run(sys.stdin, "sql> " if sys.stdin.isatty() else "")
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from typing import TextIO
 
 from pyspark.sql import SparkSession
 
-from ..errors import EngineError, invalid
+from ..errors import EngineError, invalid, missing
 from ..functions.values import cell
 from ..operators.relational import RID
 from ..plans.dialect import ColumnDef
@@ -16,9 +16,9 @@ from ..session import Session
 from ..sources.store import pack, unpack
 from .sql_shell import type_text
 
-#: Commands of each state with their shortest forms.
+# Commands of each state with their shortest forms.
 STATES = {
-    "root": {"open": "o", "close": "cl", "readonly": "readonly", "tables": "t", "desc": "d", "create": "cr", "use": "u", "drop": "dr", "pack": "pack", "unpack": "unpack", "quit": "q"},
+    "root": {"open": "o", "close": "cl", "readonly": "readonly", "tables": "t", "desc": "d", "create": "cr", "use": "u", "drop": "dr", "pack": "pack", "unpack": "unpack", "run": "ru", "quit": "q"},
     "creator": {"col": "col", "done": "done", "cancel": "cancel", "quit": "q"},
     "table": {
         "insert": "i", "update": "u", "select": "s", "get": "g", "delete": "del", "compact": "co", "addcolumn": "addcolumn", "dropcolumn": "dropcolumn", "index": "in",
@@ -31,6 +31,7 @@ class TableShell:
         self.spark, self.out, self.err = spark, out, err
         self.session: Session | None = None
         self.state, self.table, self.pending = "root", "", []
+        self._files: list[str] = []
 
     def run(self, lines) -> None:
         for line in lines:
@@ -49,7 +50,7 @@ class TableShell:
                 raise invalid(f"{'ambiguous' if found else 'unknown'} command: {words[0]}")
             if found[0] == "quit":
                 return True
-            getattr(self, f"{self.state}_{found[0]}")(*words[1:])
+            return bool(getattr(self, f"{self.state}_{found[0]}")(*words[1:]))
         except EngineError as e:
             print(f"error: {e.message}", file=self.err)
         except (TypeError, ValueError) as e:
@@ -65,8 +66,24 @@ class TableShell:
             raise invalid("no database open")
         return self.session
 
+    def run_file(self, path: str) -> bool:
+        """The lines of a file, which may run further files; # begins a remark. Whether the shell ends."""
+        if len(self._files) >= 16:
+            raise invalid("files are nested too deeply")
+        self._files.append(path)
+        try:
+            with open(path, encoding="utf-8") as f:
+                return any(self.line(x) for x in f if not x.startswith("#"))
+        except OSError as e:
+            raise missing(f"can't read {path}") from e
+        finally:
+            self._files.pop()
+
     # ---- root
 
+    def root_run(self, file: str) -> bool:
+        return self.run_file(file)
+
     def root_open(self, directory: str) -> None:
         if self.session:
             self.session.close()

@@ -24,6 +24,6 @@ def test_accepted():
     assert parse("INSERT INTO t VALUES (-2147483648)").values[0][0].value == -(1 << 31)
 
 
-@pytest.mark.parametrize(("x", "shown"), [(2.5, "2.50000000E+00"), (-0.001, "-1.00000000E-03"), (0.0, "0.00000000E+00"), (1e100, "1.00000000+100"), (9.999999999, "1.00000000E+01"), (123456.789, "1.23456789E+05")])
+@pytest.mark.parametrize(("x", "shown"), [(2.5, "2.50000000E+00"), (-0.001, "-1.00000000E-03"), (0.0, "0.00000000E+00"), (1e100, "1.00000000+100"), (9.999999999, "1.00000000E+01"), (123456.789, "1.23456789E+05"), (-0.0, "-0.00000000E+00"), (0.1 + 0.2, "3.00000000E-01"), (1.000000005, "1.00000001E+00")])
 def test_real_form(x, shown):
     assert es15_8(x) == shown
