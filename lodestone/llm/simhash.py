@@ -20,6 +20,8 @@ ROW_COST, CANDIDATE_COST = 17.0, 1.0
 #: A bucket with over HEAVY candidates is heavy. If the heavy ones have over CANDIDATES for each fingerprint, which is what a
 #: round of some 20 rows for each costs, they are first joined by LEADERS of each bucket.
 HEAVY, CANDIDATES, LEADERS = 100_000, int(20 * ROW_COST / CANDIDATE_COST), 8
+#: Edges that one task joins by itself.
+EDGES = 1 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -242,6 +244,35 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b), a > b: each node with the least that it reaches over the edges of one task, EDGES of them at most a task in the mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        def flat() -> pa.RecordBatch:
+            own = [(x, top(x)) for x in list(up)]
+            own = [(x, y) for x, y in own if x != y]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = top(x), top(y)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+            if len(up) > 4 * EDGES:  # memory stays bounded; what is known so far goes on as edges
+                yield flat()
+                up.clear()
+        yield flat()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, least node that it reaches) for each node of an edge, by large and small stars.
 
@@ -254,8 +285,9 @@ def components(edges: DataFrame) -> DataFrame:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         return tuple(r)
 
-    # here a > b for all edges
-    edges = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    # edges are joined within tasks first, which leaves few rounds; then a > b for all of them
+    edges = stash(edges.select("a", "b").where("a <> b"))
+    edges = stash(stars(edges.repartition(max(8, -(-edges.count() // EDGES)))).distinct())
     now, seen = mark(edges), None
     while now[0] and now != seen:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
