@@ -20,7 +20,7 @@ ROW_COST, CANDIDATE_COST = 17.0, 1.0
 #: A bucket with over HEAVY candidates is heavy. If the heavy ones have over CANDIDATES for each fingerprint, which is what a
 #: round of some 20 rows for each costs, they are first joined by LEADERS of each bucket.
 HEAVY, CANDIDATES, LEADERS = 100_000, int(20 * ROW_COST / CANDIDATE_COST), 8
-#: Edges that one task joins by itself.
+#: Edges that one task joins by itself: some 100 bytes of memory each.
 EDGES = 1 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -245,7 +245,7 @@ def forest(edges: DataFrame) -> DataFrame:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """(a, b), a > b: each node with the least that it reaches over the edges of one task, EDGES of them at most a task in the mean."""
+    """(a, b), a > b: each node with the least that it reaches over the edges of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[int, int] = {}
@@ -274,22 +274,25 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, least node that it reaches) for each node of an edge, by large and small stars.
-
-    A round joins each node's neighbours to the least of them; rounds go on until the edges
-    no longer change, which they do within some log(n) squared rounds. Each round's edges are a
-    table in the shared folder, and so are the least neighbours of nodes that have larger ones:
-    the centres of stars, few as a rule, so that no join needs a hot centre's edges in one task.
+    """(node, least node that it reaches) for each node of an edge: within tasks first, then by large and small stars.
+
+    Tasks of EDGES edges in the mean join what they hold. While more than EDGES are left, rounds
+    join each node's neighbours to the least of them, until the edges no longer change, which
+    they do within some log(n) squared rounds; as soon as no more than EDGES are left, one task
+    ends it. Each round's edges are a table in the shared folder, and so are the least neighbours
+    of nodes that have larger ones: the centres of stars, few as a rule, so that no join needs a
+    hot centre's edges in one task.
     """
     def mark(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         return tuple(r)
 
-    # edges are joined within tasks first, which leaves few rounds; then a > b for all of them
     edges = stash(edges.select("a", "b").where("a <> b"))
-    edges = stash(stars(edges.repartition(max(8, -(-edges.count() // EDGES)))).distinct())
     now, seen = mark(edges), None
-    while now[0] and now != seen:
+    if now[0] > EDGES:  # few rounds are left after this, and a > b for all edges
+        edges = stash(stars(edges.repartition(-(-now[0] // EDGES))).distinct())
+        now = mark(edges)
+    while now[0] > EDGES and now != seen:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         centres = stash(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("b").alias("top")).where("top > a").drop("top"))
         large = both.where("b > a").join(centres, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -297,7 +300,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = stash(small.where("a <> b").distinct())
         now, seen = mark(edges), now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("least")).union(edges.select(F.col("b"), F.col("b"))).distinct()
+    if now[0] <= EDGES:
+        edges = stash(stars(edges.repartition(1)))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("least")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, distance: int = DISTANCE) -> DataFrame:

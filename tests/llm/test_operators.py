@@ -147,7 +147,10 @@ def test_plans_meet_the_pigeonhole(n):
     assert any({0, 1} <= set(g) for g, _ in parts) or len(parts) < 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [simhash.EDGES, 340, 30])
+def test_components(spark, monkeypatch, most):
+    """In one task, by tasks and rounds that one task ends, and by rounds alone."""
+    monkeypatch.setattr(simhash, "EDGES", most)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(5001, 5100)]
     up = {}
