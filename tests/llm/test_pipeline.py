@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -106,3 +107,14 @@ def test_copies_edited_to_less_are_found(spark, monkeypatch, pairs):
     assert min(links) < 0.83 and any(0.83 < s < 0.95 for s in links) and len(set(label)) > 12
     docs = spark.createDataFrame([(i, t, "l", "s", 1) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.simhash(spark, docs.repartition(3), SF).collect()) == sorted(set(label))
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    """Parity sketches bound from below in how many shingles two sets differ."""
+    rng = np.random.default_rng(3)
+    for size, edits in ((1, 0), (1, 1), (40, 3), (400, 30), (5000, 2000)):
+        x = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, size))
+        y = np.unique(np.concatenate([x[edits:], rng.integers(-(1 << 63), (1 << 63) - 1, edits)]))
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(near_copies.sketch(x).view(np.uint64), near_copies.sketch(y).view(np.uint64)))
+        assert bits <= len(np.setxor1d(x, y)) and (edits or bits == 0)
+    assert len(near_copies.sketch(x)) == near_copies.SKETCH // 64
