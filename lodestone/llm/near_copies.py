@@ -21,8 +21,8 @@ from .simhash import BITS, components, forest, links
 
 #: Similarity is held as a fraction, so that the test is one of whole numbers.
 WORDS, SIMILARITY, SEED = 5, (4, 5), 42
-#: Shingles are ordered by their counts in one of SHARE documents (of SAMPLE at least); so many counts go to the executors at most.
-SHARE, SAMPLE, COUNTS = 8, 20_000, 1_000_000
+#: Shingles are ordered by counts in so many cells, which go to the executors (8 MB); tables of cells are summed in slices.
+CELLS, SLICE = 1 << 21, 1 << 10
 #: If the lists of over LIST pairs have over PAIRS pairs for each unit, they are first joined by their leaders, so often at most.
 LIST, PAIRS, STARS = 500, 20, 8
 #: Bits of a set's sketch; shingles before one's own by which a pair is known to have met there already.
@@ -61,33 +61,45 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def counts(docs: DataFrame, share: int, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several of the sampled documents, sorted, and in how many."""
+def cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) // np.uint64((1 << 64) // CELLS)).astype(np.int64)
+
+
+def counts(docs: DataFrame, n: int = WORDS) -> np.ndarray:
+    """By cell in how many documents its shingles stand, over all documents: no shingle stands in more of them than its cell says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.uint32)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 sets = [shingles(t.as_py(), n) for t in b.column(0).slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["token"])
-
-    sample = docs.where(F.pmod("h1", F.lit(share)) == 0).select("text").mapInArrow(run, "token long")
-    often = stash(sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    left, least = COUNTS, 2
-    for r in sorted(often.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
-        left -= r.tokens
-        if left < 0:
-            least = r.n + 1
-            break
-    rows = often.where(F.col("n") >= least).orderBy("token").toArrow()
-    return rows.column("token").to_numpy(), rows.column("n").to_numpy()
+                total += np.bincount(cell(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+        slices = np.flatnonzero(total.reshape(-1, SLICE).any(axis=1))
+        for at in range(0, len(slices), 500):
+            part = slices[at : at + 500]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([total[i * SLICE : (i + 1) * SLICE].tobytes() for i in part], pa.binary())], names=["slice", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                total[i] = total.get(i, 0) + np.frombuffer(x.as_buffer(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "cells"])
+
+    schema = T.StructType([T.StructField("slice", T.LongType()), T.StructField("cells", T.BinaryType())])
+    rows = docs.select("text").mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).toArrow()
+    out = np.zeros((CELLS // SLICE, SLICE), np.uint32)
+    for i, x in zip(rows.column("slice").to_pylist(), rows.column("cells")):
+        out[i] = np.frombuffer(x.as_buffer(), np.uint32)
+    return out.ravel()
 
 
-def signatures(docs: DataFrame, tokens: np.ndarray, n_of: np.ndarray, n: int = WORDS) -> DataFrame:
+def signatures(docs: DataFrame, often: np.ndarray, n: int = WORDS) -> DataFrame:
     """(h1, h2, unit, size, fp, sketch, prefix): unit is a hash of the set, fp its SimHash, prefix its first shingles in the common order.
 
     Sets of x and y that are similar enough have x's size times the similarity in common, so
     they share one of x's first size - ceil(size * similarity) + 1 shingles in any order that
-    is the same for all. Rare ones come first; the order bears on the cost alone.
+    is the same for all. Those of rare cells come first; the order bears on the cost alone.
     """
     p, q = SIMILARITY
 
@@ -100,9 +112,7 @@ def signatures(docs: DataFrame, tokens: np.ndarray, n_of: np.ndarray, n: int = W
                 sizes.append(len(s))
                 fps.append(fingerprint_of(s))
                 sketches.append(sketch(s))
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    s = s[np.argsort(np.where(tokens[at] == s, n_of[at], 0), kind="stable")]
+                s = s[np.argsort(often[cell(s)], kind="stable")]
                 prefixes.append(s[: len(s) - -(-len(s) * p // q) + 1])
             ends = np.cumsum([0, *map(len, prefixes)])
             of = lambda at, parts: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
@@ -156,8 +166,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     own = text_of(docs, text)
     h1, h2 = hash_pair(docs[quoted(key)], own)
     docs = docs.select(h1.alias("h1"), h2.alias("h2"), own.alias("text"))
-    share = max(1, min(SHARE, docs.count() // SAMPLE))
-    signed = stash(signatures(docs, *counts(docs, share, n), n).dropDuplicates(["h1", "h2"]))
+    signed = stash(signatures(docs, counts(docs, n), n).dropDuplicates(["h1", "h2"]))
     members = signed.select("h1", "h2", "unit")
     units = stash(signed.groupBy("unit").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
     n_units = units.count()

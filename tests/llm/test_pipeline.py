@@ -6,9 +6,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from lodestone.llm import near_copies, quality_rules
+from lodestone.llm.common import hash_pair
 from lodestone.llm.mixing import SQL as MIX_SQL
 from lodestone.llm.decontaminate import SQL as LEAK_SQL
 
@@ -118,3 +120,21 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         bits = sum(int(a ^ b).bit_count() for a, b in zip(near_copies.sketch(x).view(np.uint64), near_copies.sketch(y).view(np.uint64)))
         assert bits <= len(np.setxor1d(x, y)) and (edits or bits == 0)
     assert len(near_copies.sketch(x)) == near_copies.SKETCH // 64
+
+
+def test_shingles_are_counted_in_all_documents(spark, monkeypatch):
+    """A passage of many documents is in no set's first shingles, whichever documents have it: none is left out of the counts."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 1, raising=False)
+    line = " ".join(f"l{i}" for i in range(20))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + " " + line) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.where(F.pmod(hash_pair(docs["doc_id"], docs["text"])[0], F.lit(8)) != 0)  # those that one sample had left out
+    made, signatures = [], near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda *given: made.append(signatures(*given)) or made[0])
+    assert near_copies.near_copies(docs).count() == docs.count() > 40
+    common = set(near_copies.shingles(line).tolist())
+    assert not any(common & set(r.prefix) for r in made[0].collect())
+    texts = [r.text for r in docs.collect()]
+    often = near_copies.counts(docs)
+    assert often.sum() == sum(len(near_copies.shingles(t)) for t in texts)
+    assert (often[near_copies.cell(near_copies.shingles(line))] >= len(texts)).all()
