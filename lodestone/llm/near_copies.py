@@ -23,6 +23,8 @@ from .simhash import BITS, components, forest, links
 WORDS, SIMILARITY, SEED = 5, (4, 5), 42
 #: Shingles are ordered by counts in so many cells, which go to the executors (8 MB); tables of cells are summed in slices.
 CELLS, SLICE = 1 << 21, 1 << 10
+#: Whole sets go on in batches of so many shingles (8 MB) and one set.
+SETS = 1 << 20
 #: If the lists of over LIST pairs have over PAIRS pairs for each unit, they are first joined by their leaders, so often at most.
 LIST, PAIRS, STARS = 500, 20, 8
 #: Bits of a set's sketch; shingles before one's own by which a pair is known to have met there already.
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, often: np.ndarray, n: int = WORDS) -> DataFrame:
     p, q = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
             units, sizes, fps, sketches, prefixes = [], [], [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), n)
@@ -113,43 +115,39 @@ def signatures(docs: DataFrame, often: np.ndarray, n: int = WORDS) -> DataFrame:
                 fps.append(fingerprint_of(s))
                 sketches.append(sketch(s))
                 s = s[np.argsort(often[cell(s)], kind="stable")]
-                prefixes.append(s[: len(s) - -(-len(s) * p // q) + 1])
-            ends = np.cumsum([0, *map(len, prefixes)])
-            of = lambda at, parts: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
-            flat = np.arange(len(sketches) + 1) * (SKETCH // 64)
+                prefixes.append(s[: len(s) - -(-len(s) * p // q) + 1].copy())  # not the whole set
+            flat = [np.arange(len(sketches) + 1) * (SKETCH // 64), np.cumsum([0, *map(len, prefixes)])]
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts))) for at, parts in zip(flat, (sketches, prefixes))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(units, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                                              pa.array(fps, pa.int64()), of(flat, sketches), of(ends, prefixes)],
-                                             names=["h1", "h2", "unit", "size", "fp", "sketch", "prefix"])
+                                              pa.array(fps, pa.int64()), *lists], names=["h1", "h2", "unit", "size", "fp", "sketch", "prefix"])
 
     return docs.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, unit long, size long, fp long, sketch array<long>, prefix array<long>")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int = WORDS) -> DataFrame:
-    """Those of the pairs (a, b) of units whose sets are similar enough: each set is made anew from a text."""
+    """Those of the pairs (a, b) of units whose sets are similar enough: each set is made anew from a text.
+
+    Pairs are tested row by row, as a batch of rows with two whole sets each has no bound of its memory.
+    """
     p, q = SIMILARITY
-    schema = T.StructType([T.StructField("unit", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                made = pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["unit", "set"])
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both * (p + q) >= p * (len(x) + len(y)))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            made, at, size = [], 0, 0
+            for i, t in enumerate(b.column(1), 1):
+                made.append(shingles(t.as_py(), n))
+                size += len(made[-1])
+                if size >= SETS or i == b.num_rows:
+                    ends = pa.array(np.cumsum([0, *map(len, made)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i - at), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made)))], names=["unit", "set"])
+                    made, at, size = [], i, 0
 
     units = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
     first = members.join(units, "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("h1", "h2")).alias("h")).select("unit", "h.h1", "h.h2")
-    made = stash(docs.join(first, ["h1", "h2"]).select("unit", "text").mapInArrow(sets, schema))
+    made = stash(docs.join(first, ["h1", "h2"]).select("unit", "text").mapInArrow(sets, "unit long, set array<long>"))
     x, y = made.select(F.col("unit").alias("a"), F.col("set").alias("x")), made.select(F.col("unit").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").where(both * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:

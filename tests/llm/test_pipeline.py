@@ -138,3 +138,17 @@ def test_shingles_are_counted_in_all_documents(spark, monkeypatch):
     often = near_copies.counts(docs)
     assert often.sum() == sum(len(near_copies.shingles(t)) for t in texts)
     assert (often[near_copies.cell(near_copies.shingles(line))] >= len(texts)).all()
+
+
+def test_whole_sets_are_tested_row_by_row(spark, monkeypatch):
+    """Pairs with two whole sets each go to no Python worker, where a batch of them has no bound; sets come in batches of any size."""
+    monkeypatch.setattr(near_copies, "SETS", 150, raising=False)
+    words = [f"w{i}" for i in range(104)]
+    texts = ["", "few words", " ".join(words), " ".join(["x", *words[1:]]), " ".join(words[:52] + ["x", "y"] + words[54:]), " ".join(words[11:]), " ".join(words[30:]), " ".join(words[::-1])]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "h1 long, h2 long, text string")
+    members = docs.selectExpr("h1", "h2", "h1 AS unit")
+    every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    out = near_copies.similar(spark.createDataFrame(every, "a long, b long"), docs, members)
+    assert {tuple(r) for r in out.collect()} == {(i, j) for i, j in every if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} == {(i, j) for i, j in every if jaccard(texts[i], texts[j]) >= 0.8}
+    assert 3 < out.count() < len(every) and "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
