@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import carried, hash_pair, load, quoted, restored, stash, text_of
 
@@ -20,14 +21,15 @@ GRAM = 4
 SIEVE = 1 << 26
 #: Bytes of texts that are hashed at a time; they take some 40 times as much.
 CHUNK = 4 << 20
-#: A word, in either case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes in which words are counted at a time.
+PIECE = 1 << 18
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _C = np.uint64(0xD6E8FEB86659FD93)
 # digits, letters and all bytes of other characters are parts of words
 _IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+_IS_WORD_BYTES = _IS_WORD.tobytes()
 _LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
@@ -238,6 +240,32 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
+def word_counts(texts: pa.Array) -> pa.Array:
+    """How many words each text has: the first bytes of words, counted in the joined bytes a piece at a time."""
+    if not len(texts):
+        return pa.array([], pa.int64())
+    raw = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    joined = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    before, seen, inside = np.zeros(len(bounds), np.int64), 0, False  # words that begin before each bound, before this piece
+    for at in range(int(bounds[0]), int(bounds[-1]), PIECE):
+        end = min(at + PIECE, int(bounds[-1]))
+        word = np.frombuffer(joined[at:end].tobytes().translate(_IS_WORD_BYTES), bool)
+        go_on = np.concatenate([[inside], word[:-1]])
+        a, b = np.searchsorted(bounds, [at, end])
+        go_on[bounds[a:b] - at] = False  # a text starts here
+        starts = np.flatnonzero(word & ~go_on)
+        before[a:b] = seen + np.searchsorted(starts, bounds[a:b] - at)
+        seen, inside = seen + len(starts), bool(word[-1])
+    before[np.searchsorted(bounds, bounds[-1]) :] = seen  # texts behind the last byte are empty
+    return pa.array(np.diff(before))
+
+
+@F.arrow_udf(LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return word_counts(texts)
+
+
 def found_windows(docs: DataFrame, bench: DataFrame, text: str, item: str, item_text: str) -> DataFrame:
     """(t1, t2, n_hit, items): for each text, by its hash, that has a window of an item."""
     spark = docs.sparkSession
@@ -275,7 +303,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_items: int = 2, text: s
     (a fixed-size sieve of the items' hashes first drops most that have no match), the hits are
     extended to the windows around them, and these are joined with the items' by their words.
     Shorter items are found by one hash of all their words. A word is hit inside any window's
-    occurrence.
+    occurrence. `n_words` is counted apart, from the texts' bytes, and only where it is asked for.
 
     The test set may be of any size: windows and fingerprints are tables, and only the sieve, of
     SIEVE bits, goes to the executors. Null text has no words; items without words, or without an
@@ -288,8 +316,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, min_items: int = 2, text: s
     names = [c for c in docs.columns if c.lower() not in new]
     found = found_windows(docs, bench, text, item, item_text).withColumnsRenamed({"t1": "f1", "t2": "f2"})
     a, b = hash_pair(text_of(docs, text))
-    n_words = F.regexp_count(text_of(docs, text), F.lit(WORD)).cast("long")
-    named = docs.select(carried(docs, names).alias("row"), a.alias("t1"), b.alias("t2"), n_words.alias("n_words"))
+    named = docs.select(carried(docs, names).alias("row"), a.alias("t1"), b.alias("t2"), _n_words(text_of(docs, text)).alias("n_words"))
     out = named.join(found, (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(*restored(names), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -200,6 +201,28 @@ def test_decontaminate(spark, docs, empty):
     assert dec.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_counts_words_without_a_regular_expression(spark):
+    """By a regular expression each word is made a string of its own: most of the query's CPU time."""
+    texts = [None, "", "a", " Zé-9 \x00.x\x7fy", "@`[{ /:", "long " * 3000 + "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = dec.decontaminate(rows, spark.createDataFrame([(1, "a b")], "item_id long, text string")).select("doc_id", "n_words")
+    assert {r.doc_id: r.n_words for r in out.collect()} == {0: 0, 1: 0, 2: 1, 3: 4, 4: 0, 5: 3001}
+    assert "regexp" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_in_pieces(monkeypatch):
+    import re
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aZ09é　 .\n\x00\x7f@[`{/:") for _ in range(rng.choice([0, 0, 1, 2, 9, 300]))) for _ in range(200)] + ["", ""]
+    want = [len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t)) for t in texts]
+    for piece in (1, 7, 100, 1 << 18):
+        monkeypatch.setattr(dec, "PIECE", piece)
+        assert dec.word_counts(pa.array(texts)).to_pylist() == want
+        assert dec.word_counts(pa.array(texts, pa.large_string()).slice(3, 50)).to_pylist() == want[3:53]
+        assert dec.word_counts(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_mixing(docs, empty, spark):
     many = spark.range(20_000).select("id", F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), F.lit("0123456789").alias("text"))
     out = mixing.mix(many, {"a": 3.0, "b": 1.0}, key="id").groupBy("source").count().collect()
